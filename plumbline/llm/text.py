@@ -19,9 +19,9 @@ LETTERS[ord("A") : ord("Z") + 1] = LETTERS[ord("a") : ord("z") + 1] = LETTERS[0x
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, texts) of runs of rows with about `most` text bytes; null is b""."""
-    texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t)
