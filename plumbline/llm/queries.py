@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substrings
+from . import decontaminate, language_id, mixing, quality_model, simhash, substrings
+from .sampling import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_model.scored(docs, quality_model.learned(docs, table(spark, sf_dir, "labels")))
+    held_out = fold(F.col("doc_id"), quality_model.FOLDS) == quality_model.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_model.CUTOFF).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -27,11 +35,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", "taken", "row.source")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identified(docs, language_id.learned(docs), keep=["doc_id"])
+    held_out = fold(F.col("row.doc_id"), language_id.FOLDS) == language_id.HELD_OUT
+    return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.with_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_substring_dedup, op5_source_mixing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op8_language_id, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
