@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_model, simhash, substrings
+from . import decontaminate, language_id, line_dedup, mixing, quality_model, simhash, substrings
 from .sampling import fold
 
 
@@ -42,11 +42,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.cleaned(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
+    return found.select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.with_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op8_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -61,7 +61,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return hashes(self.data, self.buf, self.start, self.end - self.start)
+        return hashes(self.buf, self.start, self.end - self.start)
 
 
 def at64(buf: np.ndarray) -> np.ndarray:
@@ -69,9 +69,21 @@ def at64(buf: np.ndarray) -> np.ndarray:
     return np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
 
 
-def hashes(data: bytes, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; the same for equal bytes anywhere. data ends in eight spare bytes."""
-    return xxh64(buf, start, length, 7)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, eight bytes a round; the same for equal bytes anywhere. buf ends in eight spare bytes."""
+    eight = at64(buf)
+    with np.errstate(over="ignore"):
+        h = mix((eight[start] & HEAD[np.minimum(length, 8)]) + length.astype(np.uint64) * P1)
+        on, done = np.flatnonzero(length > 8), 8
+        while len(on):
+            h[on] = mix((h[on] * P4) ^ (eight[start[on] + done] & HEAD[np.minimum(length[on] - done, 8)]))
+            done += 8
+            on = on[length[on] > done]
+    return h
 
 
 def xxh64(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
@@ -124,12 +136,14 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(word_hash: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A hash of each run of `width` consecutive word hashes: a polynomial in an odd base, mixed."""
-    if len(word_hash) < width:
-        return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(word_hash) + 1).bit_length())
-    power, inverse = _powers(size, base)
+    """A hash of each run of `width` consecutive word hashes."""
+    n = max(0, len(word_hash) - width + 1)
+    return run_hashes(word_hash, np.arange(n), np.arange(n) + width, base)
+
+
+def run_hashes(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of each run of word hashes from start to end: a polynomial in an odd base, mixed. Runs of other lengths differ too."""
+    power, inverse = _powers(1 << max(16, int(len(word_hash) + 1).bit_length()), base)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum(word_hash * power[: len(word_hash)])])
-        n = len(word_hash) - width + 1
-        return mix((total[width:] - total[:n]) * inverse[:n])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * P5)
