@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_model, simhash, substrings
+from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substrings
 from .sampling import fold
 
 
@@ -35,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", "taken", "row.source")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identified(docs, language_id.learned(docs), keep=["doc_id"])
@@ -52,6 +56,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
