@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substrings
+from . import decontaminate, language_id, line_dedup, mixing, pii, quality_model, quality_rules, simhash, substrings
 from .sampling import fold
 
 
@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [pii.counted(F.col("base"), k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -56,6 +62,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
