@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, pii, quality_model, quality_rules, simhash, substrings
+from . import decontaminate, language_id, line_dedup, mixing, pii, quality_model, quality_rules, simhash, substrings, token_counts
 from .sampling import fold
 
 
@@ -41,6 +41,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", "taken", "row.source")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.counted(table(spark, sf_dir, "documents"))
+    sections = F.size("section_tokens").cast("long").alias("n_sections")
+    return found.select("doc_id", "n_tokens", sections, "n_crossing", F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +68,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op6_token_counts, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
