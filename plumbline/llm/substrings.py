@@ -94,21 +94,20 @@ def _extended(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> It
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own, removed, texts = [], [], []
-        rows = zip(batch.column("sequence").to_pylist(), batch.column("starts"), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
-        for k, (sequence, starts, text) in enumerate(rows):
-            words = (text or b"").split()
-            norm = b" ".join(words)
-            buf = np.frombuffer(norm + bytes(8), np.uint8)
-            if T.xxh64(buf, np.zeros(1, np.int64), np.array([len(norm)]), 1).view(np.int64)[0] != sequence:
-                continue
-            starts = starts.values.to_numpy()
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + window, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            own.append(k)
-            removed.append(int(gone.sum()))
-            texts.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
+        sequences, starts = batch.column("sequence").to_numpy(), batch.column("starts")
+        for a, b, part in T.slices(batch.column("text")):
+            norm = [b" ".join(t.split()) for t in part]
+            w = T.Words(norm)
+            same = T.xxh64(w.buf, w.text_start, w.text_end - w.text_start, 1).view(np.int64) == sequences[a:b]
+            for k in np.flatnonzero(same).tolist():
+                words, at = norm[k].split(), starts[a + k].values.to_numpy()
+                edge = np.zeros(len(words) + 1, np.int32)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                own.append(a + k)
+                removed.append(int(gone.sum()))
+                texts.append(b" ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g))
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in ("id", "sequence")), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "sequence", "n_removed", "kept_sha256", "kept"])
 
 
