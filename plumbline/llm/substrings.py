@@ -130,7 +130,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
     seeded = seeds.join(shared, "anchor").groupBy("id", "sequence").agg(F.collect_set("anchor").alias("anchors"))
     near = written(texts.select(ident.alias("id"), "text").join(seeded, "id"), "substrings-seeded")
     rows = written(near.mapInArrow(lambda b: _extended(b, window, anchor), "h long, g int, at int, id long, sequence long"), "substrings-windows")
-    least = rows.groupBy("h", "g").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "g", "a")
+    # Written, so that the join below reads plain shuffles, of which Spark can split one that a frequent window fills.
+    least = written(rows.groupBy("h", "g").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "g", "a"), "substrings-least")
     starts = rows.join(least, ["h", "g"]).where("id > a").groupBy("id", "sequence").agg(F.collect_set("at").alias("starts"))
     kind = "id long, sequence long, n_removed long, kept_sha256 string, kept string"
     partly = near.select("id", "sequence", "text").join(starts, ["id", "sequence"]).mapInArrow(lambda b: _kept(b, window), kind)
