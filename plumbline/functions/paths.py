@@ -1,0 +1,63 @@
+"""Predicates and keys of paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normalised(path: Column) -> Column:
+    return F.regexp_replace(path, r"\\", "/")
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(normalised(path), "/"), -1)
+
+
+def dir_bucket(path: Column, depth: int) -> Column:
+    """The first `depth` parent directories, "." for a file at the root."""
+    parts = F.split(normalised(path), "/")
+    parents = F.slice(parts, F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))
+    return F.when(F.size(parts) < 2, F.lit(".")).otherwise(F.array_join(parents, "/"))
+
+
+def is_test_file(path: Column) -> Column:
+    """By a directory tests, test, __tests__, spec or specs, or a name such as test_x, x_test, x.test.y, x.spec.y, XTest.php."""
+    name = file_name(path)
+    lower = F.lower(name)
+    stem = F.regexp_replace(lower, r"\.[^.]*$", "")
+    return (
+        F.exists(F.split(F.lower(normalised(path)), "/"), lambda x: x.isin("tests", "test", "__tests__", "spec", "specs"))
+        | (lower == "tests.rs")
+        | stem.rlike(r"^test_|_test$")
+        | lower.rlike(r"\.test\.|\.spec\.|_spec\.rb$")
+        | name.rlike(r"^.*Test\.(?i:php)$")
+    )
+
+
+#: File names that start programs, packages or builds.
+ENTRYPOINTS = ("__init__.py", "__main__.py", "setup.py", "conftest.py", "bootstrap.php", "artisan", "lib.rs", "build.rs")
+
+
+def is_entrypoint(path: Column) -> Column:
+    """By name, or index.*, main.*, app.*, *.d.ts, or a config of a build tool."""
+    return F.lower(file_name(path)).isin(*ENTRYPOINTS) | F.lower(file_name(path)).rlike(r"\.d\.ts$|\.config\.(?:js|ts|mjs|cjs)$|^(?:index|main|app)\.")
+
+
+def stem_key(path: Column, test: bool = False) -> Column:
+    """The path without its extension and one layout directory, in lower case: the key that a test shares with its source."""
+    bare = F.lower(F.regexp_replace(normalised(path), r"\.[^./]*$", ""))
+    layout = r"(^|/)(?:src|lib|app|tests|test|__tests__|spec|specs)/" if test else r"(^|/)(?:src|lib|app)/"
+    return F.regexp_replace(bare, layout, "$1")
+
+
+def test_stem_keys(path: Column) -> Column:
+    """The keys of the sources that a test file may cover."""
+    raw = stem_key(path, True)
+    kinds = [raw, *(F.regexp_replace(raw, p, r) for p, r in ((r"(^|/)test_([^/]*)$", "$1$2"), (r"_test$", ""), (r"\.test$", ""), (r"\.spec$", ""), (r"_spec$", "")))]
+    return F.array_distinct(F.array(*kinds))
+
+
+def within(path: Column, focus: Column) -> Column:
+    """Whether a path is the focus or lies under it."""
+    return (path == focus) | F.startswith(path, F.concat(focus, F.lit("/")))
