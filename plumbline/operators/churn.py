@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import complexity
+from ..session import cut
 
 
 def churn(deltas: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def renamed(deltas: DataFrame, renames: DataFrame, rounds: int = 50) -> DataFram
     for _ in range(rounds):
         ahead = chain.select(F.col("name").alias("last"), F.col("last").alias("further"))
         longer = chain.join(ahead, "last", "left").select("name", F.coalesce("further", "last").alias("last"), F.col("further").isNotNull().alias("moved"))
-        longer = longer.checkpoint()
+        longer = cut(longer)
         chain = longer.select("name", "last")
         if longer.where("moved").isEmpty():
             break

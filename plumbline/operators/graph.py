@@ -5,17 +5,10 @@ Loops over the graph run a join for each step, with a checkpoint in the shared f
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+from ..session import cut
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -46,13 +39,13 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int | None = None, direct
     step = edges.select("source", "target")
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     step = {"dependencies": step, "dependents": back, "both": step.union(back)}[direction]
-    seen = frontier = _cut(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
+    seen = frontier = cut(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
     k = 0
     while (depth is None or k < depth) and not frontier.isEmpty():
         k += 1
         ahead = frontier.join(step, frontier["node"] == step["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = _cut(ahead.join(seen, "node", "left_anti").withColumn("distance", F.lit(k).cast("long")))
-        seen = _cut(seen.union(frontier))
+        frontier = cut(ahead.join(seen, "node", "left_anti").withColumn("distance", F.lit(k).cast("long")))
+        seen = cut(seen.union(frontier))
     return seen
 
 
@@ -65,13 +58,13 @@ def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node and component, the least node that is connected to it in either direction, by label passing with shortcuts."""
     both = edges.select("source", "target").union(edges.select(F.col("target"), F.col("source"))).distinct()
-    both = _cut(both)
-    label = _cut(nodes_of(edges).withColumn("component", F.col("node")))
+    both = cut(both)
+    label = cut(nodes_of(edges).withColumn("component", F.col("node")))
     for _ in range(rounds):
         offers = both.join(label, both["source"] == label["node"]).groupBy(F.col("target").alias("node")).agg(F.min("component").alias("offer"))
         new = label.join(offers, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("offer", "component")).alias("component"))
         root = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = _cut(new.join(root, "component").select("node", "was", F.least("component", "root").alias("component")))
+        new = cut(new.join(root, "component").select("node", "was", F.least("component", "root").alias("component")))
         label = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return label
@@ -81,29 +74,29 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """node and component of nodes on a cycle: each round gives every node the least node that reaches it, and those that
     reach that root back along edges of the same colour form a component, which then leaves the graph."""
-    left = _cut(edges.select("source", "target").where("source <> target").distinct())
+    left = cut(edges.select("source", "target").where("source <> target").distinct())
     found = None
     for _ in range(rounds):
         if left.isEmpty():
             break
-        colour = _cut(nodes_of(left).withColumn("colour", F.col("node")))
+        colour = cut(nodes_of(left).withColumn("colour", F.col("node")))
         while True:
             offers = left.join(colour, left["source"] == colour["node"]).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("offer"))
-            new = _cut(colour.join(offers, "node", "left").select("node", F.col("colour").alias("was"), F.least("colour", F.coalesce("offer", "colour")).alias("colour")))
+            new = cut(colour.join(offers, "node", "left").select("node", F.col("colour").alias("was"), F.least("colour", F.coalesce("offer", "colour")).alias("colour")))
             colour = new.select("node", "colour")
             if new.where("was <> colour").isEmpty():
                 break
         a, b = colour.select(F.col("node").alias("source"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("target"), F.col("colour").alias("cb"))
-        same = _cut(left.join(a, "source").join(b, "target").where("ca = cb").select("source", "target"))
+        same = cut(left.join(a, "source").join(b, "target").where("ca = cb").select("source", "target"))
         roots = colour.where("node = colour").select("node")
         members = reached(same, roots, None, "dependents").select("node").join(colour, "node").select("node", F.col("colour").alias("component"))
-        members = _cut(members)
+        members = cut(members)
         found = members if found is None else found.union(members)
         gone = members.select("node")
-        left = _cut(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+        left = cut(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
     if found is None:
         return nodes_of(edges).withColumn("component", F.col("node")).limit(0)
-    return _cut(found)
+    return cut(found)
 
 
 def cycles(edges: DataFrame) -> DataFrame:

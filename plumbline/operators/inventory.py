@@ -40,14 +40,24 @@ def by_directory(files: DataFrame, depth: int) -> DataFrame:
     return out.orderBy(F.desc("tokens"), "directory")
 
 
-def complexity_summary(files: DataFrame, threshold: int) -> DataFrame:
-    return files.agg(
+def _complexity(threshold: int) -> list[Column]:
+    return [
         F.coalesce(F.avg("cyclomatic"), F.lit(0.0)).alias("avg_cyclomatic"),
         F.coalesce(F.max("cyclomatic"), F.lit(0)).alias("max_cyclomatic"),
         F.count_if(F.col("cyclomatic") > threshold).alias("over_threshold"),
         F.coalesce(F.avg("maintainability"), F.lit(0.0)).alias("avg_maintainability"),
         F.coalesce(F.min("maintainability"), F.lit(0.0)).alias("min_maintainability"),
-    )
+    ]
+
+
+def complexity_summary(files: DataFrame, threshold: int) -> DataFrame:
+    return files.agg(*_complexity(threshold))
+
+
+def summary(files: DataFrame, threshold: int) -> DataFrame:
+    """All totals of measured files in one row; empty sums are 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "tokens", "loc", "sloc", "comment_lines", "blank_lines", "commits")]
+    return files.agg(F.count("*").alias("files"), *sums, *_complexity(threshold))
 
 
 def violations(files: DataFrame, threshold: int) -> DataFrame:
