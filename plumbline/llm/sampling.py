@@ -17,9 +17,12 @@ def sample(rows: DataFrame, per_key: int, text_bytes: int) -> list[tuple]:
     Rows are taken by a hash of their doc_id and text, so the same table gives the same sample. Bounded by keys * per_key * text_bytes.
     """
     rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("key").count().select(F.col("key").alias("of"), F.least(F.lit(1.0), 4 * per_key / F.col("count") + 0.0).alias("share"))
+    counts = rows.groupBy("key").count().collect()  # a row for each key
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["key"], min(1.0, 4 * per_key / r["count"]))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    some = rows.join(counts, F.col("key") == F.col("of")).where(draw < F.col("share")).where(F.octet_length("text").between(1, text_bytes))
+    some = rows.where(draw < F.element_at(share, F.col("key"))).where(F.octet_length("text").between(1, text_bytes))
     by = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(17)), F.xxhash64("text"))
     some = some.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_key).select("key", "text", "rank")
     return [(r.key, r.text) for r in sorted(some.collect(), key=lambda r: (r.key, r.rank))]
