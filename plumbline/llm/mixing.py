@@ -20,6 +20,8 @@ from .shared import written
 WEIGHTS = (3, 1, 2)
 #: Words to a block, words to a shard, and shards of a source at most; beyond that its shards grow.
 BLOCK, SHARD, SHARDS = 16, 1 << 20, 4096
+#: Sources up to which their table is broadcast; beyond that it is joined by a shuffle.
+SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -99,6 +101,7 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float,
 
     def dealt(rows: DataFrame) -> DataFrame:
         own = plan.withColumnRenamed("source", "of")
+        own = F.broadcast(own) if len(found) <= SOURCES else own
         return rows.join(own, rows["source"].eqNullSafe(own["of"])).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "shards").cast("int")).drop("of")
 
     sums = dealt(light).groupBy("place", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
