@@ -49,14 +49,18 @@ def fingerprint_batch(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp: the fingerprint's bits as a signed long. A null text counts as empty."""
+    """(doc_id, spare, fp) for each row of docs; fp: the fingerprint's bits as a signed long. A null text counts as empty.
+
+    spare: a hash of the text where doc_id is null, to tell such rows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint_batch(texts, shingle) for _, _, texts in T.slices(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("spare"), pa.array(np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64))], ["doc_id", "spare", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("spare"))
+    return rows.mapInArrow(run, "doc_id long, spare long, fp long")
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -194,20 +198,26 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return first.where("not finer").select("u", "v").union(second.select("u", "v"))
 
 
+def _key() -> Column:
+    """What tells documents apart: the doc_id, or the hash of the text, which comes after all doc_ids."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "spare").alias("id"))
+
+
 def with_components(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs.
+    """(doc_id, spare, fp, component_id, first) for each row of docs.
 
     component_id: the smallest doc_id whose fingerprint is reachable by links of at most DISTANCE bits, the row's own
     included; null if all of them are null. Rows with null or without words have fingerprint zero, and link like any
-    other. Repeated rows give repeated rows. Columns other than doc_id and text are not read. An empty table gives none.
+    other. first: what the document that stands for the component is told by. Repeated rows give repeated rows. Columns other than doc_id and text are not read. An empty table gives none.
     """
     fps = written(fingerprints(docs, shingle), "simhash-fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(_key()).alias("first"))
     found = components(links(nodes.select("fp"), bucket)).withColumnsRenamed({"node": "fp"})
     group = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    group = group.select("fp", "component", "least")
-    label = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(group.join(label, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    group = group.select("fp", "component", "least", "first")
+    label = group.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    label = group.select("fp", "component").join(label, "component").select("fp", "component_id", "first")
+    return fps.join(label, "fp").select("doc_id", "spare", "fp", "component_id", "first")
 
 
 def hexed(fp: Column) -> Column:
@@ -217,11 +227,11 @@ def hexed(fp: Column) -> Column:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row for each component: that of the smallest doc_id. Columns of docs stay as they are.
 
-    Rows that repeat a doc_id count as one document, and the first by the hash of its text stays. Of rows with a null
-    doc_id one stays if no row of its component has an id.
+    Rows that repeat a doc_id count as one document, and the first by the hash of its text stays. Rows with a null
+    doc_id are told apart by their texts, and stay only in components without any doc_id.
     """
-    groups = with_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row")).join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")))
-    first = Window.partitionBy("kept_id").orderBy(F.xxhash64("row.text"))
-    return rows.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("row.*")
+    kept = with_components(docs).where(_key() == F.col("first")).select("first.none", "first.id").distinct()
+    given = F.col("row.doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("row")).select("row", given.isNull().alias("none"), F.coalesce(given, F.xxhash64("row.text")).alias("id"))
+    rows = rows.join(kept, ["none", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("none", "id").orderBy(F.xxhash64("row.text"))))
+    return rows.where("rank = 1").select("row.*")

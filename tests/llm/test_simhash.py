@@ -107,7 +107,7 @@ def test_large_bucket_over_many_batches(spark):
 def test_deduplicated_empty_and_repeated(spark):
     kind = "doc_id long, text string, lang string, _rank int"
     assert simhash.deduplicated(spark.createDataFrame([], kind)).count() == 0
-    rows = [(1, "a b c d e", "en", 1), (1, "a b c d e", "en", 1), (2, "A b c d e", "de", 2), (3, None, "fr", 3), (None, "", "es", 4), (4, "other words in this one here", None, 5)]
+    rows = [(1, "a b c d e", "en", 1), (1, "a b c d e", "en", 1), (2, "A b c d e", "de", 2), (3, None, "fr", 3), (None, "", "es", 4), (4, "other words in this one here", None, 5), (None, "no id but words of its own", "en", 6), (None, "no id but words of its own", "en", 6), (None, "some more without any id at all", "en", 7)]
     kept = simhash.deduplicated(spark.createDataFrame(rows, kind).withColumn("more", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "lang", "_rank", "more"]
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert sorted((r.doc_id or 0, r._rank) for r in kept.collect()) == [(0, 6), (0, 7), (1, 1), (3, 3), (4, 5)]
