@@ -4,7 +4,7 @@ Base spans are matches of four patterns that pass their checks. Beside them, hig
 which may overlap: number-like, address-like and credential-like runs. Boosted trees score each candidate by its format
 (digits, letters, separators, case, length) and its context (the word before, the characters around). A candidate's
 weak label is whether it holds a span that passes a strict check (of the base patterns, or of a known key format); the
-trees don't see the checks. For each generator a threshold is calibrated on a held-out fold of the documents, so that
+trees don't see the checks. For each generator a threshold is calibrated on a held-out fold of the candidates, so that
 at least PRECISION of what it selects there is labelled true; selected candidates that overlap no base span are added.
 
 All passes over the corpus are DataFrame operations. As all features have a few levels each, candidates are counted by
@@ -141,11 +141,11 @@ def _based(k: int, kind: str) -> Column:
 
 
 def _proposed(g: int, name: str) -> Column:
-    return F.transform(name, lambda x: _span(x, len(KINDS) + g, name, features(g, x).alias("f"), _label(name, x["s"]).alias("label")))
+    return F.transform(name, lambda x: _span(x, len(KINDS) + g, name, features(g, x).alias("f"), _label(name, x["s"]).alias("label"), F.xxhash64(x["s"]).alias("h")))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, fold, base (spans by start, then kind) and candidates (start, end, generator, features, label) for each row of docs.
+    """doc_id, base (spans by start, then kind) and candidates (spans with features, label and a hash) for each row of docs.
 
     Positions are code points, ends exclusive. A null text counts as empty.
     """
@@ -159,8 +159,7 @@ def described(docs: DataFrame) -> DataFrame:
         rows = found(rows, name, GENERATED[name], needs[name])
         candidates.append(_proposed(g, name))
     some = F.filter(F.concat(*candidates), lambda x: (x["f"]["generator"] != 2) | (x["f"]["digits"] > 0))
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    return rows.select("doc_id", fold.alias("fold"), F.array_sort(F.concat(*base)).alias("base"), some.alias("candidates"))
+    return rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), some.alias("candidates"))
 
 
 class Boosted:
@@ -227,8 +226,9 @@ def thresholds(model: Boosted, cells: list[tuple[tuple[int, ...], float, float]]
 
 
 def learned(rows: DataFrame) -> tuple[Boosted, dict[int, float]]:
-    """Trees from three folds of the documents, and thresholds from the other."""
-    cells = rows.select("fold", F.explode("candidates").alias("c")).groupBy("fold", "c.f").agg(F.count("*").alias("n"), F.sum(F.col("c.label").cast("long")).alias("t"))
+    """Trees from three folds of the distinct candidates, and thresholds from the other; copies count once and share a fold."""
+    once = rows.select(F.explode("candidates").alias("c")).select("c.h", "c.f", "c.label").distinct()
+    cells = once.groupBy(F.pmod("h", F.lit(FOLDS)).alias("fold"), "f").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("t"))
     table: list[dict] = [{}, {}]
     for r in cells.collect():  # FOLDS * CELLS rows at most
         side, f = table[r.fold == 0], tuple(r.f)
