@@ -5,7 +5,8 @@ going from the mildest to the strictest of a fixed grid, a cutoff is admitted wh
 it rejects more than RISK of the texts labelled good. The walk stops at the first cutoff that isn't refuted (a fixed
 sequence of tests), and the level is divided by the number of rules and strata (Bonferroni), so with probability
 1 - LEVEL no admitted cutoff exceeds RISK. Of those admitted, the mildest that catches nearly all of the texts
-labelled bad that any of them catches is used, and none where that is less than USEFUL of them. Too few labels: no cutoff.
+labelled bad that any of them catches is used, and none where that is less than USEFUL of them, or less than LIFT times
+the share of texts labelled good that it rejects. Too few labels: no cutoff.
 
 All of it is DataFrame operations; the driver gets a few rows of counts.
 """
@@ -21,7 +22,7 @@ from .shared import written
 
 SPACES = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\f\r"
-RISK, LEVEL, USEFUL, NEARLY = 0.002, 0.05, 0.005, 0.98
+RISK, LEVEL, USEFUL, NEARLY, LIFT = 0.01, 0.05, 0.005, 0.98, 20
 #: Upper bounds of the strata's n_words.
 STRATA = (200, 600, 2000)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -132,7 +133,8 @@ def choose(good: int, bad: int, good_above: list[int], bad_above: list[int], ris
         admitted += 1
     if not admitted or not bad or bad_above[admitted - 1] < USEFUL * bad:
         return None
-    return next(k for k in range(admitted) if bad_above[k] >= NEARLY * bad_above[admitted - 1])
+    k = next(k for k in range(admitted) if bad_above[k] >= NEARLY * bad_above[admitted - 1])
+    return k if bad_above[k] * good >= LIFT * good_above[k] * bad else None
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[int, dict[str, float]]:

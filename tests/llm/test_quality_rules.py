@@ -43,6 +43,7 @@ def test_choice_limits_false_rejection():
     assert quality_rules.choose(10_000, 50, [0, 1, 1], [20, 20, 20], 0.002, 0.05) == 0
     assert quality_rules.choose(10_000, 50, [90, 0, 0], [10, 20, 30], 0.002, 0.05) is None  # the walk stops at once
     assert quality_rules.choose(10_000, 0, [0], [0], 0.002, 0.05) is None
+    assert quality_rules.choose(100_000, 50, [90], [1], 0.002, 0.05) == 0 and quality_rules.choose(100_000, 500, [90], [5], 0.002, 0.05) is None
 
 
 def test_judged(spark):
