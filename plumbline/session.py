@@ -1,10 +1,11 @@
-"""Cutting lineage in loops, in a place that all executors share."""
+"""Cutting lineage in loops, in a place that all executors share, and the path of the workers' imports."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,15 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """spark, after its Python workers have been told where this package lies, for runs from another folder.
+
+    That is enough where executors see this folder; elsewhere ship the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    return spark
