@@ -137,3 +137,43 @@ def renamed_families(rows: DataFrame) -> DataFrame:
     grouped = rows.groupBy("hash", "exact").agg(F.count("*").alias("n"), F.min(F.struct("path", "start")).alias("first"))
     out = grouped.groupBy("hash").agg(F.sum("n").alias("copies"), F.count("*").alias("variants"), F.min("first").alias("first"))
     return out.where("variants > 1").select("copies", "variants", F.col("first.path").alias("first_path"), F.col("first.start").alias("first_start"))
+
+
+def instances(found: DataFrame) -> DataFrame:
+    """(family, tokens, path, start): the occurrences of each region's first place, itself included. found: rows of regions()."""
+    own = found.withColumn("tokens", F.col("end") - F.col("start"))
+    family = F.concat_ws(":", "first_path", F.col("first_start").cast("string"), F.col("tokens").cast("string"))
+    own = own.withColumn("family", family)
+    first = own.select("family", "tokens", F.col("first_path").alias("path"), F.col("first_start").alias("start"))
+    return own.select("family", "tokens", "path", "start").union(first).distinct()
+
+
+def longest_free(b: int, e: int, taken: list[tuple[int, int]]) -> int:
+    """The longest run of [b, e) outside of the taken intervals."""
+    out, at = 0, b
+    for x, y in sorted(taken):
+        if y > at and x < e:
+            out, at = max(out, x - at), max(at, y)
+    return max(out, e - at)
+
+
+def top_blocks(found: DataFrame, n: int, least: int) -> DataFrame:
+    """The first n families by tokens * (copies - 1) that each add `least` tokens in a row, in two places at least, that
+    families taken before don't cover.
+
+    Sequential by nature: families come to the driver in order, one after another, and the walk stops at the n-th.
+    """
+    kind = "family string, tokens long, copies long, impact long"
+    grouped = instances(found).groupBy("family", "tokens").agg(F.sort_array(F.collect_list(F.struct("path", "start"))).alias("places"))
+    ranked = grouped.withColumn("impact", F.col("tokens") * (F.size("places") - 1)).orderBy(F.desc("impact"), F.desc("tokens"), "family")
+    taken: dict[str, list[tuple[int, int]]] = {}
+    out = []
+    for r in ranked.toLocalIterator():
+        if len(out) == n:
+            break
+        spans = [(p.path, p.start, p.start + r.tokens) for p in r.places]
+        if sum(longest_free(b, e, taken.get(path, [])) >= least for path, b, e in spans) >= 2:
+            out.append((r.family, r.tokens, len(spans), r.impact))
+            for path, b, e in spans:
+                taken.setdefault(path, []).append((b, e))
+    return found.sparkSession.createDataFrame(out, kind)

@@ -234,6 +234,11 @@ def clone_groups_ranked(spark, folder):
     return grouped.withColumn("impact", F.col("tokens") * (F.col("copies") - 1)).orderBy(F.desc("impact"), F.desc("tokens"), "first_path", "first_start").limit(20)
 
 
+@query
+def greedy_top_duplicates(spark, folder):
+    return clones.top_blocks(clones.regions(clones.repeated(windows(spark, folder)), WIDTH), 10, 20)
+
+
 @query
 def dup_token_coverage(spark, folder):
     return clones.coverage(clones.repeated(windows(spark, folder)), WIDTH).withColumnRenamed("n", "duplicated_tokens")

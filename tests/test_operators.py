@@ -75,3 +75,11 @@ def test_compare_states(spark):
     make = lambda rows: findings.catalog(risks=spark.createDataFrame(rows, kind), risk_threshold=0.0)
     got = findings.compare(make([("a", 0.5), ("b", 0.5), ("c", 0.5), ("d", 0.5)]), make([("a", 0.505), ("b", 0.7), ("c", 0.2), ("e", 0.9)]))
     assert {r.path: r.state for r in got.collect()} == {"b": "worsened", "c": "improved", "d": "resolved", "e": "new"}
+
+
+def test_greedy_blocks(spark):
+    assert [clones.longest_free(0, 10, x) for x in ([], [(2, 4)], [(0, 3), (2, 10)], [(20, 30)], [(-5, 1), (9, 12)])] == [10, 6, 0, 10, 8]
+    kind = "path string, language string, first_path string, start long, end long, first_start long"
+    rows = [("b", "x", "a", 0, 100, 0), ("c", "x", "a", 0, 100, 0), ("b", "x", "a", 10, 90, 10), ("d", "x", "a", 0, 60, 90)]
+    got = clones.top_blocks(spark.createDataFrame(rows, kind), 5, 20)
+    assert [(r.family, r.copies, r.impact) for r in got.collect()] == [("a:0:100", 3, 200), ("a:90:60", 2, 60)]
