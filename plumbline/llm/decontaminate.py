@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 from . import text as T
 
 WINDOW, SHINGLE = 13, 5
-#: Text bytes of the benchmark that are broadcast at once.
-BLOCK_BYTES = 8 << 20
+#: Text bytes of the benchmark that are broadcast at once; as an index they take about a hundred times that.
+BLOCK_BYTES = 1 << 20
 #: Bytes of words to themselves in lower case, of others to a space: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lowered.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 0x20 for b in range(256))
 
