@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .sampling import fold, sample
+from .sampling import drawn, fold, sample
 
 BUCKETS, DIMENSIONS = 1 << 17, 8
 #: Training texts of a label at most, and bytes of such a text at most; longer ones aren't learned from.
@@ -102,9 +102,8 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, text
     """The model of a bounded sample of labelled rows outside of the held-out fold; all scores are 0.5 if there are none."""
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("key"))
     marks = marks.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # Ids are drawn first, twice as many as texts are wanted, so that only their texts are joined, by a broadcast of bounded size.
-    by = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    ids = marks.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= 2 * per_label).select("key", "doc_id")
+    # Ids are drawn first, so that only their texts are joined, by a broadcast of about 8 * per_label ids a label.
+    ids = drawn(marks, 2 * per_label).select("key", "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("key", "doc_id", "text")
     return trained(sample(rows, per_label, text_bytes))
 

@@ -11,18 +11,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def drawn(rows: DataFrame, per_key: int) -> DataFrame:
+    """About 4 * per_key rows for each key, by a hash of their doc_id, from rows (key, doc_id, ...); all rows of smaller keys."""
+    rows = rows.where(F.col("key").isNotNull())
+    counts = rows.groupBy("key").count().collect()  # a row for each key
+    if not counts:
+        return rows
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["key"], min(1.0, 4 * per_key / r["count"]))))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
+    return rows.where(draw < F.element_at(share, F.col("key")))
+
+
 def sample(rows: DataFrame, per_key: int, text_bytes: int) -> list[tuple]:
     """(key, text) of `per_key` rows for each key at most, from rows (key, doc_id, text) whose text isn't null, empty or over text_bytes.
 
     Rows are taken by a hash of their doc_id and text, so the same table gives the same sample. Bounded by keys * per_key * text_bytes.
     """
-    rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("key").count().collect()  # a row for each key
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["key"], min(1.0, 4 * per_key / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    some = rows.where(draw < F.element_at(share, F.col("key"))).where(F.octet_length("text").between(1, text_bytes))
+    some = drawn(rows.where(F.col("text").isNotNull()), per_key).where(F.octet_length("text").between(1, text_bytes))
     by = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(17)), F.xxhash64("text"))
     some = some.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_key).select("key", "text", "rank")
     return [(r.key, r.text) for r in sorted(some.collect(), key=lambda r: (r.key, r.rank))]
