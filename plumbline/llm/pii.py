@@ -36,7 +36,7 @@ BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 GENERATORS = ("number", "address", "secret")
 GENERATED = {
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().-]{7,40}+(?<=[0-9])(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().-]{7,40}(?<=[0-9])(?![0-9A-Za-z])",
     "address": rf"(?<!\S)\S{{1,64}}(?:@|\x20?[\[(]at[\])]\x20?)\S{{1,64}}(?:\x20?[\[(]dot[\])]\x20?\S{{1,20}})?",
     "secret": r"(?<![A-Za-z0-9])(?:[A-Za-z_]{3,20}\x20?[=:]\x20?)?+\"?+[A-Za-z0-9_/+-]{16,128}+\"?+",
 }
