@@ -32,7 +32,8 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to match; spares most texts the search.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Leading zeros are free; a part of zeros alone is what the look-behind is for.
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 
 GENERATORS = ("number", "address", "secret")
 GENERATED = {

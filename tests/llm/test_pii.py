@@ -54,6 +54,16 @@ def test_base_spans(spark):
             assert 0 <= c.start < c.end <= len(t)
 
 
+def test_addresses_with_zero_parts(spark):
+    good = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "000.1.2.3", "192.168.00.255", "0255.0.010.00"]
+    bad = ["0.0.0.256", "0256.0.0.0", "300.0.0.0"]
+    texts = [f"at {a}, then" for a in good + bad] + ["0" * 4_000 + ".0.0.1", "1." + "0" * 4_000 + "256.0.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.described(docs).select("doc_id", pii.joined(F.col("base")).alias("s")).collect()}
+    assert got == {k: ",".join(plain(t)) for k, t in enumerate(texts)}
+    assert [f"ip:3:{3 + len(a)}" in got[k].split(",") for k, a in enumerate(good + bad)] == [True] * len(good) + [False] * len(bad)
+
+
 def test_query_adds_spans_and_keeps_base(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
