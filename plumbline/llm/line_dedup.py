@@ -2,11 +2,15 @@
 
 A line's path in the tree is its number of words, its leading words, and the rest of its words, with variable fields
 replaced by a wildcard: words with a digit or one of @ / = in them, and capitalised words within a sentence. The end of
-the path is the template. A template recurs when it stands in at least CONTEXTS different contexts, and in one for each
-SPREAD documents that hold it. A document's context is the least of the hashes of its other templates, so that copies
-and near copies of one document count about once, while a footer, notice or menu line counts in each document. The
-lines of recurring templates go from all documents. Lines of fewer than WORDS words, or of which more than half is
-wildcards, never go.
+the path is the template. A template recurs when it stands in at least CONTEXTS different contexts. A document's context
+is the hash of the set of all its templates, so that copies of a document, and those that differ in variable fields only,
+count once, while a footer, notice or menu line counts in each document, whatever stands beside it and however many copies
+there are. Near copies that differ in other words are documents of their own. The lines of recurring templates go from all
+documents. Lines of fewer than WORDS words, or of which more than half is wildcards, never go.
+
+By request (spread), a context is the least of the hashes of a document's other templates instead, and a template must
+stand in one for each `spread` documents that hold it. That rule spares near copies, but also boilerplate that stands in
+a large group of copies or among other boilerplate; no query takes it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import text as T
 from .shared import written
 
-CONTEXTS, SPREAD, WORDS = 10, 10, 3
+CONTEXTS, WORDS = 10, 3
 #: Templates that are broadcast at once; more go one block after another.
 BLOCK = 2_000_000
 WILDCARD = np.uint64(0x2A)
@@ -58,7 +62,8 @@ class Lines:
         self.fit = (last - first >= WORDS) & (2 * (known[last] - known[first]) >= last - first)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """whole: a context is all templates of a document, not the least of the others."""
     for batch in batches:
         for _, _, texts in T.slices(batch.column("text")):
             x = Lines(texts)
@@ -68,18 +73,23 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1])
             owner, template, fit = owner[new], template[new], fit[new]
             head = np.flatnonzero(np.diff(owner, prepend=-1))
-            context = np.repeat(template[head], np.diff(np.append(head, len(owner))))
-            other = np.minimum(head + 1, max(0, len(owner) - 1))
-            context[head] = np.where(owner[other] == owner[head], template[other], 0) * (other != head)
+            size = np.diff(np.append(head, len(owner)))
+            if whole:
+                context = np.repeat(np.add.reduceat(T.mix(template), head), size) if len(head) else template
+            else:
+                context = np.repeat(template[head], size)
+                other = np.minimum(head + 1, max(0, len(owner) - 1))
+                context[head] = np.where(owner[other] == owner[head], template[other], 0) * (other != head)
             yield pa.RecordBatch.from_arrays([pa.array(template[fit].view(np.int64)), pa.array(context[fit].view(np.int64))], ["template", "context"])
 
 
-def recurring(docs: DataFrame, contexts: int = CONTEXTS, spread: int = SPREAD) -> DataFrame:
+def recurring(docs: DataFrame, contexts: int = CONTEXTS, spread: int | None = None) -> DataFrame:
     """(template, n_contexts, n_docs) of the templates that recur."""
-    rows = docs.select("text").mapInArrow(_contexts, "template long, context long")
+    rows = docs.select("text").mapInArrow(lambda b: _contexts(b, spread is None), "template long, context long")
     each = rows.groupBy("template", "context").agg(F.count("*").alias("n"))
     found = each.groupBy("template").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_docs"))
-    return found.where((F.col("n_contexts") >= contexts) & (spread * F.col("n_contexts") >= F.col("n_docs")))
+    found = found.where(F.col("n_contexts") >= contexts)
+    return found if spread is None else found.where(spread * F.col("n_contexts") >= F.col("n_docs"))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], shared, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -113,7 +123,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], shared, with_text: bool) -> Iter
         yield pa.RecordBatch.from_arrays(list(named.values()), list(named))
 
 
-def cleaned(docs: DataFrame, keep: list[str], with_text: bool = True, contexts: int = CONTEXTS, spread: int = SPREAD, block: int = BLOCK) -> DataFrame:
+def cleaned(docs: DataFrame, keep: list[str], with_text: bool = True, contexts: int = CONTEXTS, spread: int | None = None, block: int = BLOCK) -> DataFrame:
     """The columns `keep` of docs, without text, in a struct `row`, with n_lines (lines with a word), n_dropped, and the text left.
 
     with_text false: kept_sha256 in place of the text. A null text stays null, has no lines, and its sha256 is that of

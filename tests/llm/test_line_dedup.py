@@ -72,3 +72,18 @@ def test_copies_are_no_recurrence_and_empty(spark):
     docs = spark.createDataFrame([(k, "the first line of it\nthe second line of it") for k in range(50)], "doc_id long, text string")
     assert {x.n_dropped for x in line_dedup.cleaned(docs, ["doc_id"], with_text=False).collect()} == {0}
     assert line_dedup.cleaned(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_boilerplate_goes_despite_copies_and_companions(spark):
+    names = [chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(300)]
+    own = lambda k: f"own words of {names[k]}"
+    noted = [f"{own(k)}\nread our notice on privacy" for k in range(30)]
+    copies = ["a story that has copies\nread our notice on privacy\nand its second line"] * 400
+    pages = ["\n".join([own(k)] + [f"menu line about {n}" for n in names[:20]]) for k in range(30, 230)]
+    docs = spark.createDataFrame(list(enumerate(noted + copies + pages)), "doc_id long, text string").repartition(8)
+    got = {r.row.doc_id: r.text for r in line_dedup.cleaned(docs, ["doc_id"]).collect()}
+    left = [own(k) for k in range(30)] + ["a story that has copies\nand its second line"] * 400 + [own(k) for k in range(30, 230)]
+    assert [got[k] for k in range(len(left))] == left
+    few = docs.where("doc_id < 9 or doc_id between 30 and 429")
+    assert {r.row.doc_id for r in line_dedup.cleaned(few, ["doc_id"]).where("n_dropped > 0").collect()} == set(range(9)) | set(range(30, 430))
+    assert line_dedup.cleaned(few.where("doc_id > 0"), ["doc_id"]).where("n_dropped > 0").count() == 0
