@@ -39,9 +39,9 @@ GENERATORS = ("number", "address", "secret")
 GENERATED = {
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().-]{7,40}(?<=[0-9])(?![0-9A-Za-z])",
     "address": rf"(?<!\S)\S{{1,64}}(?:@|\x20?[\[(]at[\])]\x20?)\S{{1,64}}(?:\x20?[\[(]dot[\])]\x20?\S{{1,20}})?",
-    "secret": r"(?<![A-Za-z0-9])(?:[A-Za-z_]{3,20}\x20?[=:]\x20?)?+\"?+[A-Za-z0-9_/+-]{16,128}+\"?+",
+    "secret": r"(?<![A-Za-z0-9])(?:[A-Za-z_]{3,20}\x20?[=:]\x20?)?+\"?+[A-Za-z0-9_/+-]{16,}+\"?+",
 }
-STRICT_SECRET = r"^(?:AKIA[0-9A-Z]{16}|[A-Za-z_]{3,20}\x20?[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[a-f])[0-9a-f]{16,128}\"?)$"
+STRICT_SECRET = r"^(?:AKIA[0-9A-Z]{16}|[A-Za-z_]{3,20}\x20?[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[a-f])[0-9a-f]{16,}\"?)$"
 CUES = {"number": r"(?i)(?:tel|phone|call|fax|mobile|card|visa|account|ip|host|address)[:.#\x20]*$", "address": r"(?i)(?:mail|contact|write|to|from)[:\x20]*$", "secret": r"(?i)(?:key|token|secret|password|auth)[\x20:=\"]*$"}
 #: The product of the features' levels.
 CELLS = 3 * 6 * 4 * 3 * 4 * 2 * 3 * 2 * 2
@@ -159,8 +159,7 @@ def described(docs: DataFrame) -> DataFrame:
     for g, name in enumerate(GENERATORS):
         rows = found(rows, name, GENERATED[name], needs[name])
         candidates.append(_proposed(g, name))
-    some = F.filter(F.concat(*candidates), lambda x: (x["f"]["generator"] != 2) | (x["f"]["digits"] > 0))
-    return rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), some.alias("candidates"))
+    return rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*candidates).alias("candidates"))
 
 
 class Boosted:

@@ -64,6 +64,13 @@ def test_addresses_with_zero_parts(spark):
     assert [f"ip:3:{3 + len(a)}" in got[k].split(",") for k, a in enumerate(good + bad)] == [True] * len(good) + [False] * len(bad)
 
 
+def test_secrets_are_proposed_whole(spark):
+    parts = ["0a" * 150, "token=" + "0123456789abcdef" * 20, "Zq" * 12, "x" * 30_000]
+    docs = spark.createDataFrame([(k, f"so {t} it is") for k, t in enumerate(parts)], "doc_id long, text string")
+    got = {r.doc_id: [(c.start, c.end, c.label) for c in r.candidates if c.kind == "secret"] for r in pii.described(docs).collect()}
+    assert got == {k: [(3, 3 + len(t), t.startswith("token="))] for k, t in enumerate(parts)}
+
+
 def test_query_adds_spans_and_keeps_base(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
