@@ -51,7 +51,7 @@ def fingerprint_batch(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, spare, fp) for each row of docs; fp: the fingerprint's bits as a signed long. A null text counts as empty.
 
-    spare: a hash of the text where doc_id is null, to tell such rows apart.
+    spare: a hash of the text, to tell apart rows that have no doc_id, or the same one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint_batch(texts, shingle) for _, _, texts in T.slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("spare"), pa.array(np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64))], ["doc_id", "spare", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("spare"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spare"))
     return rows.mapInArrow(run, "doc_id long, spare long, fp long")
 
 
@@ -204,8 +204,9 @@ def _key() -> Column:
 
 
 def with_components(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, spare, fp, component_id, first) for each row of docs.
+    """(doc_id, spare, fp, component, component_id, first) for each row of docs.
 
+    component: a fingerprint that is the same for the whole component.
     component_id: the smallest doc_id whose fingerprint is reachable by links of at most DISTANCE bits, the row's own
     included; null if all of them are null. Rows with null or without words have fingerprint zero, and link like any
     other. first: what the document that stands for the component is told by. Repeated rows give repeated rows. Columns other than doc_id and text are not read. An empty table gives none.
@@ -216,8 +217,8 @@ def with_components(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     group = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     group = group.select("fp", "component", "least", "first")
     label = group.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    label = group.select("fp", "component").join(label, "component").select("fp", "component_id", "first")
-    return fps.join(label, "fp").select("doc_id", "spare", "fp", "component_id", "first")
+    label = group.select("fp", "component").join(label, "component").select("fp", "component", "component_id", "first")
+    return fps.join(label, "fp").select("doc_id", "spare", "fp", "component", "component_id", "first")
 
 
 def hexed(fp: Column) -> Column:
@@ -227,11 +228,13 @@ def hexed(fp: Column) -> Column:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row for each component: that of the smallest doc_id. Columns of docs stay as they are.
 
-    Rows that repeat a doc_id count as one document, and the first by the hash of its text stays. Rows with a null
-    doc_id are told apart by their texts, and stay only in components without any doc_id.
+    Of a component's rows that share the smallest doc_id the first by the hash of its text stays; a doc_id whose texts lie
+    in several components may so stay once in each. Rows with a null doc_id are told apart by their texts, and stay only
+    in components without any doc_id.
     """
-    kept = with_components(docs).where(_key() == F.col("first")).select("first.none", "first.id").distinct()
-    given = F.col("row.doc_id").cast("long")
-    rows = docs.select(F.struct("*").alias("row")).select("row", given.isNull().alias("none"), F.coalesce(given, F.xxhash64("row.text")).alias("id"))
-    rows = rows.join(kept, ["none", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("none", "id").orderBy(F.xxhash64("row.text"))))
+    own = with_components(docs).where(_key() == F.col("first"))
+    kept = own.groupBy("component").agg(F.min("first").alias("first"), F.min("spare").alias("spare")).select("first.none", "first.id", "spare")
+    given, spare = F.col("row.doc_id").cast("long"), F.xxhash64("row.text")
+    rows = docs.select(F.struct("*").alias("row")).select("row", given.isNull().alias("none"), F.coalesce(given, spare).alias("id"), spare.alias("spare"))
+    rows = rows.join(kept, ["none", "id", "spare"]).withColumn("rank", F.row_number().over(Window.partitionBy("none", "id", "spare").orderBy("spare")))
     return rows.where("rank = 1").select("row.*")

@@ -111,3 +111,11 @@ def test_deduplicated_empty_and_repeated(spark):
     kept = simhash.deduplicated(spark.createDataFrame(rows, kind).withColumn("more", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "lang", "_rank", "more"]
     assert sorted((r.doc_id or 0, r._rank) for r in kept.collect()) == [(0, 6), (0, 7), (1, 1), (3, 3), (4, 5)]
+
+
+def test_each_component_keeps_a_row_where_ids_repeat(spark):
+    near, apart = "a text that stands under two ids here", "%s words that no other row of all has"
+    for k in range(4):
+        rows = [(3, near), (5, near), (5, apart % f"k{k}"), (5, apart % f"k{k}")]
+        kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, kept)) == [(3, near), (5, apart % f"k{k}")]
