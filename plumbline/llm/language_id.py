@@ -3,8 +3,8 @@
 For each language a byte context tree of order ORDER holds how often each byte followed each context in its training
 texts. The statistics stay frozen: a byte costs -log2 of its share in the longest known context, with an escape cost
 (method C) for each context in which it never came, down to a uniform byte. A text's code length is the sum over its
-bytes, and the language of the shortest code wins. As the trees are frozen, the cost of each byte in each context is
-tabulated once, for all languages side by side, and scoring is two look-ups a byte.
+bytes, and the language of the shortest code wins. A tree holds only the contexts that occur, as sorted codes; a batch of
+text is scored by its distinct four-byte codes, once for each language.
 """
 
 from __future__ import annotations
@@ -19,65 +19,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import text as T
-from .sampling import fold, sample
+from .sampling import KEY_BYTES, fold, sample
 
 ORDER = 3
-#: Training texts of a language at most, and bytes of such a text at most; longer ones aren't learned from.
-PER_LANGUAGE, TEXT_BYTES = 400, 16384
+#: Training texts of a language at most; they are whole, and fewer where they are very long (sampling.KEY_BYTES).
+PER_LANGUAGE = 400
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 
 
+@dataclass
+class Tree:
+    """The contexts of one language that occur, by their length. Codes are bytes read as one number, the last one lowest."""
+
+    #: Bits of each byte without a context.
+    zero: np.ndarray
+    #: For lengths 1 to ORDER: codes of a context with the byte after it, and their bits.
+    codes: list[np.ndarray]
+    bits: list[np.ndarray]
+    #: For lengths 1 to ORDER: codes of the contexts, and the bits of their escapes.
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code after the bytes before it."""
+        out, left = np.zeros(len(code), np.float64), np.arange(len(code))
+        for k in range(ORDER, 0, -1):
+            own = code[left] & ((1 << 8 * (k + 1)) - 1)
+            at, known = _found(self.codes[k - 1], own)
+            out[left[known]] += self.bits[k - 1][at[known]]
+            left, own = left[~known], own[~known]
+            at, known = _found(self.contexts[k - 1], own >> 8)
+            out[left[known]] += self.escapes[k - 1][at[known]]
+        out[left] += self.zero[code[left] & 0xFF]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    #: Byte to symbol; bytes that no training text has share the last one.
-    symbol: np.ndarray
-    #: Context of three symbols to its row in costs.
-    row: np.ndarray
-    #: Bits of each symbol in each context, a column for each language.
-    costs: np.ndarray
+    trees: list[Tree]
+
+
+def _found(known: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each of some in known, which is sorted, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    return at, known[at] == some
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Each byte from the fourth on, with the three before it."""
+    d = data.astype(np.int64)
+    return (d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:]
 
 
-def _costs(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Bits of each symbol in each context. counts: contexts x symbols; shorter: bits in the contexts one byte shorter."""
-    total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen, escape = -np.log2(counts / (total + distinct)), -np.log2(distinct / (total + distinct))
-    return np.where(total == 0, shorter, np.where(counts > 0, seen, escape + shorter)).astype(np.float32)
+def grown(texts: list[str]) -> Tree:
+    code = np.concatenate([_codes(np.frombuffer(b"\n\n\n" + t.encode().lower(), np.uint8)) for t in texts])
+    n = np.bincount(code & 0xFF, minlength=256)
+    total, distinct = n.sum(), (n > 0).sum()
+    with np.errstate(divide="ignore"):
+        zero = np.where(n > 0, -np.log2(n / (total + distinct)), 8 - np.log2(distinct / (total + distinct)))
+    tree = Tree(zero, [], [], [], [])
+    for k in range(1, ORDER + 1):
+        codes, times = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_counts=True)
+        contexts, first, size = np.unique(codes >> 8, return_index=True, return_counts=True)
+        total = np.add.reduceat(times, first) + size
+        tree.codes.append(codes)
+        tree.bits.append(-np.log2(times / np.repeat(total, size)))
+        tree.contexts.append(contexts)
+        tree.escapes.append(-np.log2(size / total))
+    return tree
 
 
 def trained(texts: list[tuple[str, str]]) -> Model | None:
     """The model of (language, text) pairs; None if there are none."""
     languages = sorted({language for language, _ in texts})
-    if not languages:
-        return None
-    data = {k: [np.frombuffer(b"\n\n\n" + t.encode().lower(), np.uint8) for language, t in texts if language == k] for k in languages}
-    used = np.unique(np.concatenate([x for xs in data.values() for x in xs]))
-    symbol = np.full(256, len(used), np.int64)
-    symbol[used] = np.arange(len(used))
-    n = len(used) + 1
-    codes = {k: np.concatenate([((s := symbol[x])[:-3] * n + s[1:-2]) * n * n + s[2:-1] * n + s[3:] for x in xs]) for k, xs in data.items()}
-    contexts = np.unique(np.concatenate([np.unique(c // n) for c in codes.values()]))
-    costs = np.empty((len(contexts) + n * n, n, len(languages)), np.float32)
-    for k, language in enumerate(languages):
-        code = codes[language]
-        zero = _costs(np.bincount(code % n, minlength=n)[None], np.full((1, n), 8.0))
-        one = _costs(np.bincount(code % n**2, minlength=n**2).reshape(n, n), zero)
-        two = _costs(np.bincount(code % n**3, minlength=n**3).reshape(n * n, n), np.tile(one, (n, 1)))
-        four, times = np.unique(code, return_counts=True)
-        three = np.zeros((len(contexts), n))
-        three[np.searchsorted(contexts, four // n), four % n] = times
-        costs[: len(contexts), :, k] = _costs(three, two[contexts % (n * n)])
-        costs[len(contexts) :, :, k] = two
-    row = np.tile(np.arange(n * n, dtype=np.int32) + len(contexts), n)
-    row[contexts] = np.arange(len(contexts))
-    return Model(languages, symbol, row, costs.reshape(-1, len(languages)))
+    return Model(languages, [grown([t for language, t in texts if language == k]) for k in languages]) if languages else None
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each text (rows) under each language (columns)."""
-    out, n = np.zeros((len(texts), len(model.languages))), int(model.symbol.max()) + 1
+    out = np.zeros((len(texts), len(model.languages)))
     pieces = [(i, t[max(0, a - 3) : a + T.SLICE_BYTES], a == 0) for i, t in enumerate(texts) for a in range(0, len(t), T.SLICE_BYTES)]
     k = 0
     while k < len(pieces):
@@ -86,14 +110,16 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
             size += len(pieces[k][1])
             k += 1
         data = b"".join((b"\n\n\n" if head else b"") + t for _, t, head in pieces[first:k]).lower()
-        s = model.symbol[np.frombuffer(data, np.uint8)]
-        at = model.row[(s[:-3] * n + s[1:-2]) * n + s[2:-1]].astype(np.int64) * n + s[3:]
+        codes, own = np.unique(_codes(np.frombuffer(data, np.uint8)).astype(np.uint32), return_inverse=True)
+        codes = codes.astype(np.int64)
         lengths = np.array([len(t) + 3 * head for _, t, head in pieces[first:k]])
         stop = np.cumsum(lengths)
-        bits = np.concatenate([np.zeros((3, len(model.languages)), np.float32), model.costs[at]])
-        for begin in stop[:-1]:
-            bits[begin : begin + 3] = 0  # context only
-        np.add.at(out, [i for i, _, _ in pieces[first:k]], np.add.reduceat(bits, stop - lengths, axis=0, dtype=np.float64))
+        context = (stop[:-1, None] + np.arange(3)).ravel()  # bytes that are context only
+        owners = [i for i, _, _ in pieces[first:k]]
+        for column, tree in enumerate(model.trees):
+            bits = np.concatenate([np.zeros(3), tree.costs(codes)[own]])
+            bits[context] = 0
+            np.add.at(out[:, column], owners, np.add.reduceat(bits, stop - lengths))
     return out
 
 
@@ -121,10 +147,10 @@ def _identified(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(list(named.values()), list(named))
 
 
-def learned(docs: DataFrame, per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES) -> Model | None:
+def learned(docs: DataFrame, per_language: int = PER_LANGUAGE, key_bytes: int = KEY_BYTES) -> Model | None:
     """The model of a bounded sample of the rows with a lang outside of the held-out fold."""
     rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("lang").alias("key"), "doc_id", "text")
-    return trained(sample(rows, per_language, text_bytes))
+    return trained(sample(rows, per_language, key_bytes))
 
 
 def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

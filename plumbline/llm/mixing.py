@@ -82,16 +82,17 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float,
     size: words of the text, 0 if it is null. target: that of the row's source; sources weigh `weights` in turn, by
     code point, null last. taken: words that the mix takes from the row, repeats counted, at most `most` times its size.
     The taken words of a source differ from its target by less than two blocks, or half a block for each of its shards
-    where targets are at their most. Repeated rows are rows of their own. Equal inputs give equal results however they
+    where targets are at their most. Repeated rows are rows of their own; rows with one doc_id and size are laid out by a
+    hash of their texts. Equal inputs give equal results however they
     are partitioned. An empty table gives none.
 
     One row for each source reaches the driver; a source's shards, SHARDS at most, meet in one group.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.struct(*(docs[c] for c in (docs.columns if keep is None else keep))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"))
-    light = written(sized.select("doc_id", "source", "size"), "mixing-sizes")
+    sized = docs.select(F.struct(*(docs[c] for c in (docs.columns if keep is None else keep))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("spare"))
+    light = written(sized.select("doc_id", "source", "size", "spare"), "mixing-sizes")
     if keep is not None and set(keep) <= {"doc_id", "source"}:
-        sized = light.select(F.struct(*keep).alias("row"), "doc_id", "source", "size")
+        sized = light.select(F.struct(*keep).alias("row"), "doc_id", "source", "size", "spare")
     found = sorted(((r.source, r.size) for r in light.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [s for _, s in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
@@ -107,7 +108,7 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float,
     sums = dealt(light).groupBy("place", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
     quotas = sums.groupBy("place").applyInPandas(_shard_quotas, "place int, shard int, shard_size long, quota long")
     rows = dealt(sized).join(quotas, ["place", "shard"])
-    line = Window.partitionBy("place", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("place", "shard").orderBy(order, "doc_id", "size", "spare").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length, take = F.col("shard_size"), F.least(F.col("quota") * block, (F.col("shard_size") * F.lit(most)).cast("long"))
     rows = rows.withColumn("end", F.sum("size").over(line)).withColumn("take", take)
     rounds = F.expr("if(shard_size = 0, 0L, take div shard_size)")

@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-A text is a bag of hashed features: its words, the byte 3-grams and 4-grams of each word with its borders, pairs of
-neighbouring words, and one feature for a word that repeats the one before. Each bucket has a learned vector; a text's
+A text is a bag of hashed features: its words, the character 3-grams and 4-grams of each word with its borders, and pairs
+of neighbouring words. Each bucket has a learned vector; a text's
 vector is the mean over its features, and a softmax layer gives the probability of label 1. Vectors and layer are
 trained together by stochastic gradient descent in numpy, on a bounded sample of labelled texts. As the layer is linear,
 each bucket's vector times the layer is one number when texts are scored.
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .sampling import drawn, fold, sample
+from .sampling import KEY_BYTES, drawn, fold, sample
 
 BUCKETS, DIMENSIONS = 1 << 17, 8
-#: Training texts of a label at most, and bytes of such a text at most; longer ones aren't learned from.
-PER_LABEL, TEXT_BYTES = 1500, 16384
+#: Training texts of a label at most; they are whole, and fewer where they are very long (sampling.KEY_BYTES).
+PER_LABEL = 1500
 EPOCHS, RATE = 6, 0.5
 FOLDS, HELD_OUT = 5, 0
 CUTOFF = 0.3
@@ -37,20 +37,20 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same = owner[1:] == owner[:-1]
         with np.errstate(over="ignore"):
             pair = T.mix(word[1:] * T.P1 + word[:-1])
-        repeat = word[1:] == word[:-1]
-        owners += [owner[1:][same], owner[1:][same & repeat]]
-        hashes += [pair[same], np.full(int((same & repeat).sum()), 1, np.uint64)]
+        owners.append(owner[1:][same])
+        hashes.append(pair[same])
     n = len(w.data) - 8
-    space, grams = T.SPACE[w.buf[:n]], T.at64(w.buf)
-    of = np.repeat(np.arange(len(texts)), w.text_end - w.text_start + 1)[:n]
+    first = np.flatnonzero((w.buf[:n] & 0xC0) != 0x80)  # where characters begin
+    space, byte = T.SPACE[w.buf[first]], np.append(first, n)
+    of = np.repeat(np.arange(len(texts)), w.text_end - w.text_start + 1)[:n][first]
     for size in (3, 4):
-        at = np.arange(max(0, n - size + 1))
+        at = np.arange(max(0, len(first) - size + 1))
         inner = np.zeros(len(at), bool)
         for k in range(1, size - 1):
             inner |= space[k : k + len(at)]
         at = at[~inner & (of[: len(at)] == of[size - 1 :][: len(at)])]
         owners.append(of[at])
-        hashes.append(T.mix((grams[at] & np.uint64((1 << 8 * size) - 1)) | np.uint64(size << 56)))
+        hashes.append(T.mix(T.hashes(w.buf, first[at], byte[at + size] - first[at]) ^ np.uint64(size << 56)))
     return np.concatenate(owners), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
 
 
@@ -98,17 +98,25 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *found]))], ["doc_id", "score"])
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, text_bytes: int = TEXT_BYTES) -> tuple[np.ndarray, float]:
-    """The model of a bounded sample of labelled rows outside of the held-out fold; all scores are 0.5 if there are none."""
+def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, key_bytes: int = KEY_BYTES) -> tuple[np.ndarray, float]:
+    """The model of a bounded sample of labelled rows outside of the held-out fold; all scores are 0.5 if there are none.
+
+    A doc_id that is labelled more than once counts as 1 if one of its labels is; labels other than 0 and 1 are left out, and
+    so are rows of docs without a label. Rows that share a doc_id are learned from each; repeated rows count once.
+    """
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("key"))
     marks = marks.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     # Ids are drawn first, so that only their texts are joined, by a broadcast of about 8 * per_label ids a label.
     ids = drawn(marks, 2 * per_label).select("key", "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("key", "doc_id", "text")
-    return trained(sample(rows, per_label, text_bytes))
+    return trained(sample(rows, per_label, key_bytes))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id and score, the probability of label 1, for each row of docs; a text without features, or null, has the bias alone."""
+    """doc_id and score, the probability of label 1, for each row of docs; a text without features, or null, has the bias alone.
+
+    Whole texts are scored, in batches. Repeated rows are rows of their own, with equal scores; other columns, whatever their
+    names, aren't read; an empty table gives no rows. A logit is cut to -40 to 40.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _scored(batches, shared), "doc_id long, score double")

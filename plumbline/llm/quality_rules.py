@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text of which one measure is above a cutoff. Cutoffs are chosen by length stratum on labelled rows:
-going from the mildest to the strictest of a fixed grid, a cutoff is admitted while an exact binomial test refutes that
-it rejects more than RISK of the texts labelled good. The walk stops at the first cutoff that isn't refuted (a fixed
-sequence of tests), and the level is divided by the number of rules and strata (Bonferroni), so with probability
-1 - LEVEL no admitted cutoff exceeds RISK. Of those admitted, the mildest that catches nearly all of the texts
-labelled bad that any of them catches is used, and none where that is less than USEFUL of them, or less than LIFT times
-the share of texts labelled good that it rejects. Too few labels: no cutoff.
+A step is a rule with a cutoff: it rejects a text of which one measure is above the cutoff. Steps are put in an order by
+stratum of length on one part of the labelled texts (the design fold): those that reject the fewest good texts for the
+bad ones that they catch come first. The other part is the holdout. There the union of the first k steps rejects some of
+the good texts, and an exact binomial test must refute that it rejects more than RISK of them; the walk over k = 1, 2, ...
+stops at the first union that isn't refuted. As the order doesn't depend on the holdout, and unions are tested in that
+order, a stratum needs no correction for its many steps; the level is divided by the number of strata (Bonferroni). So
+with probability 1 - LEVEL, in every stratum all rules together reject no more than RISK of the good texts. Of the unions
+admitted, the first that catches nearly all of the bad texts that the last one catches is used, and none where that is less
+than USEFUL of them. Too few labels: no cutoff.
 
 All of it is DataFrame operations; the driver gets a few rows of counts.
 """
@@ -23,6 +25,8 @@ from .shared import written
 SPACES = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\f\r"
 RISK, LEVEL, USEFUL, NEARLY, LIFT = 0.01, 0.05, 0.005, 0.98, 20
+#: One fold of so many is the design fold, the others are the holdout.
+FOLDS = 4
 #: Upper bounds of the strata's n_words.
 STRATA = (200, 600, 2000)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -126,33 +130,60 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return min(1.0, 1 - front * out if flip else front * out)
 
 
-def choose(good: int, bad: int, good_above: list[int], bad_above: list[int], risk: float, level: float) -> int | None:
-    """The place in the grid of the cutoff to use, from how many texts of each label are above each cutoff."""
-    admitted = 0
-    while admitted < len(good_above) and good and binomial_at_most(good_above[admitted], good, risk) <= level:
-        admitted += 1
-    if not admitted or not bad or bad_above[admitted - 1] < USEFUL * bad:
-        return None
-    k = next(k for k in range(admitted) if bad_above[k] >= NEARLY * bad_above[admitted - 1])
-    return k if bad_above[k] * good >= LIFT * good_above[k] * bad else None
+#: A step: a rule and its cutoff.
+Step = tuple[str, float]
+
+
+def ordered(good: int, bad: int, above: dict[Step, tuple[int, int]]) -> list[Step]:
+    """Steps of LIFT and more, best first, from how many good and bad texts of the design fold are above each cutoff."""
+    fit = {s: (g, b) for s, (g, b) in above.items() if b and b * good >= LIFT * g * bad}
+    return sorted(fit, key=lambda s: ((fit[s][0] + 1) / (fit[s][1] + 1), s[0], -s[1]))
+
+
+def admitted(good: int, bad: int, rejected: list[tuple[int, int]], risk: float, level: float) -> int:
+    """How many steps to use, from how many good and bad texts of the holdout each step is the first to reject."""
+    good_sum = bad_sum = 0
+    caught = []
+    for g, b in rejected:
+        good_sum, bad_sum = good_sum + g, bad_sum + b
+        if not good or binomial_at_most(good_sum, good, risk) > level:
+            break
+        caught.append(bad_sum)
+    if not caught or caught[-1] < USEFUL * bad or not caught[-1]:
+        return 0
+    return 1 + next(k for k, c in enumerate(caught) if c >= NEARLY * caught[-1])
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[int, dict[str, float]]:
-    """Cutoffs of each rule by stratum. Copies of a text count once, as good if one of them is labelled so."""
+    """Cutoffs of each rule by stratum. Copies of a text count once, as good if one of them is labelled so, and share a fold."""
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = measures.where(~base_failed()).join(marks, "doc_id")
     held = held.groupBy("text_hash").agg(F.max("good").alias("good"), *(F.max(c).alias(c) for c in measures.columns if c not in ("doc_id", "text_hash")))
+    held = written(held.withColumns({"stratum": stratum(), "fold": F.pmod(F.xxhash64("text_hash"), F.lit(FOLDS))}), "quality-labelled")
     grid = rules()
-    above = [F.sum((m > c).cast("long")).alias(f"{name}_{k}") for name, (m, cs) in grid.items() for k, c in enumerate(cs)]
-    rows = {(r.stratum, r.good): r for r in held.groupBy(stratum().alias("stratum"), "good").agg(F.count("*").alias("n"), *above).collect()}
+    steps = [(name, c) for name, (_, cs) in grid.items() for c in cs]
+    over = lambda s: grid[s[0]][0] > s[1]
+    above = [F.count_if(over(s)).alias(f"s{k}") for k, s in enumerate(steps)]
+    design = {(r.stratum, r.good): r for r in held.where("fold = 0").groupBy("stratum", "good").agg(F.count("*").alias("n"), *above).collect()}
+    orders = {}
+    for n in range(len(STRATA) + 1):
+        good, bad = design.get((n, 1)), design.get((n, 0))
+        if good and bad:
+            orders[n] = ordered(good["n"], bad["n"], {s: (good[f"s{k}"], bad[f"s{k}"]) for k, s in enumerate(steps)})
+    first = F.lit(0)
+    for n, order in orders.items():
+        if order:
+            first = F.when(F.col("stratum") == n, F.array_position(F.array(*map(over, order)), F.lit(True))).otherwise(first)
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+    for r in held.where("fold > 0").groupBy("stratum", "good", first.alias("first")).count().collect():
+        counts.setdefault((r["stratum"], r["good"]), {})[r["first"]] = r["count"]
     out: dict[int, dict[str, float]] = {}
-    for s in range(len(STRATA) + 1):
-        good, bad = rows.get((s, 1)), rows.get((s, 0))
-        for name, (_, cs) in grid.items():
-            counts = [[r[f"{name}_{k}"] if r else 0 for k in range(len(cs))] for r in (good, bad)]
-            k = choose(good["n"] if good else 0, bad["n"] if bad else 0, *counts, risk, level / (len(grid) * (len(STRATA) + 1)))
-            if k is not None:
-                out.setdefault(s, {})[name] = cs[k]
+    for n, order in orders.items():
+        good, bad = counts.get((n, 1), {}), counts.get((n, 0), {})
+        rejected = [(good.get(k + 1, 0), bad.get(k + 1, 0)) for k in range(len(order))]
+        for name, c in order[: admitted(sum(good.values()), sum(bad.values()), rejected, risk, level / (len(STRATA) + 1))]:
+            own = out.setdefault(n, {})
+            own[name] = min(c, own.get(name, c))
     return out
 
 

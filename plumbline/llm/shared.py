@@ -6,14 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir; a temporary one of our own only where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     elif not context._jsc.sc().getCheckpointDir().isDefined():
@@ -35,3 +38,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df after checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows of one key from which on a join spreads them, and how many such keys there may be at most.
+HOT, HOT_KEYS = 100_000, 100_000
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, n: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """rows joined with other on `key`, where other has one row for each key and, in column n, how many rows that key has.
+
+    Keys of more than `hot` rows are split: their row of other is repeated, and their rows are dealt by a hash. There
+    are at most sum(n) / hot such keys, so their list is broadcast; hot grows with the table to keep it at HOT_KEYS.
+    """
+    total = other.agg(F.sum(n)).first()[0] or 0
+    hot = max(hot, total // HOT_KEYS)
+    parts = F.greatest(F.ceil(F.col(n) / hot), F.lit(1)).cast("int")
+    if total <= hot or not (large := other.where(F.col(n) > hot).select(key, parts.alias("_parts"))).take(1):
+        return rows.join(other.drop(n), key, how)
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    many = other.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return dealt.join(many, [key, "_part"], how).drop("_part")

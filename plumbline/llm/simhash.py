@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .shared import written
+from .shared import spread_join, written
 
 #: Bits of difference at which two fingerprints still link. The variants below hold for this number only.
 DISTANCE = 3
@@ -198,27 +198,22 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return first.where("not finer").select("u", "v").union(second.select("u", "v"))
 
 
-def _key() -> Column:
-    """What tells documents apart: the doc_id, or the hash of the text, which comes after all doc_ids."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "spare").alias("id"))
-
-
 def with_components(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, spare, fp, component, component_id, first) for each row of docs.
+    """(doc_id, spare, fp, component, component_id) for each row of docs.
 
     component: a fingerprint that is the same for the whole component.
     component_id: the smallest doc_id whose fingerprint is reachable by links of at most DISTANCE bits, the row's own
     included; null if all of them are null. Rows with null or without words have fingerprint zero, and link like any
-    other. first: what the document that stands for the component is told by. Repeated rows give repeated rows. Columns other than doc_id and text are not read. An empty table gives none.
+    other. Repeated rows give repeated rows. Columns other than doc_id and text are not read. An empty table gives none.
     """
     fps = written(fingerprints(docs, shingle), "simhash-fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(_key()).alias("first"))
+    nodes = fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     found = components(links(nodes.select("fp"), bucket)).withColumnsRenamed({"node": "fp"})
     group = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    group = group.select("fp", "component", "least", "first")
-    label = group.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    label = group.select("fp", "component").join(label, "component").select("fp", "component", "component_id", "first")
-    return fps.join(label, "fp").select("doc_id", "spare", "fp", "component", "component_id", "first")
+    group = group.select("fp", "component", "least", "n")
+    label = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = group.select("fp", "n", "component").join(label, "component").select("fp", "n", "component", "component_id")
+    return spread_join(fps, label, "fp", "n").select("doc_id", "spare", "fp", "component", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -228,13 +223,15 @@ def hexed(fp: Column) -> Column:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row for each component: that of the smallest doc_id. Columns of docs stay as they are.
 
-    Of a component's rows that share the smallest doc_id the first by the hash of its text stays; a doc_id whose texts lie
-    in several components may so stay once in each. Rows with a null doc_id are told apart by their texts, and stay only
-    in components without any doc_id.
+    Rows are told apart by doc_id and text: of a component's rows with its smallest doc_id the one of the least text hash
+    stays, once if it is repeated. A doc_id whose texts lie in several components stays in each that it is the smallest of.
+    Rows with a null doc_id come after all others, and so stay only in components without any doc_id.
     """
-    own = with_components(docs).where(_key() == F.col("first"))
-    kept = own.groupBy("component").agg(F.min("first").alias("first"), F.min("spare").alias("spare")).select("first.none", "first.id", "spare")
-    given, spare = F.col("row.doc_id").cast("long"), F.xxhash64("row.text")
-    rows = docs.select(F.struct("*").alias("row")).select("row", given.isNull().alias("none"), F.coalesce(given, spare).alias("id"), spare.alias("spare"))
+    own = with_components(docs)
+    kept = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")).alias("least")).select("least.*")
+    # What stays is decided on ids and hashes; the texts are shuffled once, and the rank follows the join's partitioning.
+    given = F.struct(F.col("row.doc_id").cast("long").isNull().alias("none"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("row.text").alias("spare"))
+    rows = docs.select(F.struct("*").alias("row")).select("row", given.alias("k")).select("row", "k.*")
+    kept = kept.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "spare").distinct()
     rows = rows.join(kept, ["none", "id", "spare"]).withColumn("rank", F.row_number().over(Window.partitionBy("none", "id", "spare").orderBy("spare")))
     return rows.where("rank = 1").select("row.*")
