@@ -44,17 +44,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 HOT, HOT_KEYS = 100_000, 100_000
 
 
-def spread_join(rows: DataFrame, other: DataFrame, key: str, n: str, how: str = "inner", hot: int = HOT) -> DataFrame:
-    """rows joined with other on `key`, where other has one row for each key and, in column n, how many rows that key has.
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], n: str, how: str = "inner", hot: int = HOT, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with other on keys, where other has one row for each key and, in column n, how many rows that key has.
 
-    Keys of more than `hot` rows are split: their row of other is repeated, and their rows are dealt by a hash. There
-    are at most sum(n) / hot such keys, so their list is broadcast; hot grows with the table to keep it at HOT_KEYS.
+    Keys of more than `hot` rows are split: their row of other is repeated, and their rows are dealt by a hash. There are at
+    most sum(n) / hot such keys, so their list is broadcast; hot grows with the table to keep it at HOT_KEYS. counts: keys
+    and n alone, where they are cheaper to read than other.
     """
-    total = other.agg(F.sum(n)).first()[0] or 0
+    counts = other if counts is None else counts
+    total = counts.agg(F.sum(n)).first()[0] or 0
     hot = max(hot, total // HOT_KEYS)
     parts = F.greatest(F.ceil(F.col(n) / hot), F.lit(1)).cast("int")
-    if total <= hot or not (large := other.where(F.col(n) > hot).select(key, parts.alias("_parts"))).take(1):
-        return rows.join(other.drop(n), key, how)
-    dealt = rows.join(F.broadcast(large), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    large = counts.where(F.col(n) > hot).select(*keys, parts.alias("_parts"))
+    if total <= hot or large.isEmpty():
+        return rows.join(other.drop(n), keys, how)
+    dealt = rows.join(F.broadcast(large), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts").cast("int"), F.lit(0))).drop("_parts")
     many = other.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
-    return dealt.join(many, [key, "_part"], how).drop("_part")
+    return dealt.join(many, [*keys, "_part"], how).drop("_part")

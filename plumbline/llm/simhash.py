@@ -213,7 +213,7 @@ def with_components(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     group = group.select("fp", "component", "least", "n")
     label = group.groupBy("component").agg(F.min("least").alias("component_id"))
     label = group.select("fp", "n", "component").join(label, "component").select("fp", "n", "component", "component_id")
-    return spread_join(fps, label, "fp", "n").select("doc_id", "spare", "fp", "component", "component_id")
+    return spread_join(fps, label, ["fp"], "n", counts=nodes.select("fp", "n")).select("doc_id", "spare", "fp", "component", "component_id")
 
 
 def hexed(fp: Column) -> Column:

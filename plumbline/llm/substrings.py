@@ -1,13 +1,18 @@
-"""Removal of word sequences that stand in an earlier document: seeds from winnowed anchors, then exact extension.
+"""Removal of word sequences that stand in an earlier document, by seeds and their extension.
 
 Each window of WINDOW words selects one of its ANCHOR-word sequences, the one of least hash, so equal windows select
-equal anchors, and neighbours mostly share them. Documents are joined on anchors; an anchor that stands in one document
-only can't seed a repeat. Around the others, in the documents that hold them, each seed is extended both ways to the
-windows that selected it, and the windows are matched over all documents by 96 bits of hash, besides the anchor. The
-union of matched windows is the union of all maximal repeats of WINDOW words and more with a smaller doc_id.
-
-Documents with one and the same sequence of words count as one in the search, that of the smallest doc_id; the others
-go as a whole. No step pairs up documents or gathers the members of a group: for a window only the smallest doc_id counts.
+equal anchors, and neighbours mostly share them. An anchor that stands in one document only can't seed a repeat. For each
+other anchor the smallest document that holds it is its reference, and each further place of the anchor is a seed against
+that. Seeds of one pair of documents on one diagonal share a stretch of the reference, which is brought to the later
+document; there they are extended both ways, word by word, and maximal repeats of WINDOW words and more go.
+
+That settles all windows that equal the reference's. A window that differs from it may still equal one of another earlier
+document, whose window then differs from the reference's too. So these windows, and no others, are seeds of a second round:
+as whole windows, by 96 bits of their hash, each against the smallest document that holds it, extended and compared in the
+same way. Both rounds together find every repeat of WINDOW words with a smaller doc_id, and compare words, not hashes.
+
+Documents with one and the same sequence of words (by SHA-256) count as one in the search, that of the smallest doc_id;
+the others go as a whole. No step pairs up the documents of a group: each place has one reference.
 """
 
 from __future__ import annotations
@@ -17,98 +22,168 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import written
+from .shared import spread_join, written
 
 WINDOW, ANCHOR = 50, 16
 #: A null doc_id counts as larger than any other.
 LAST = (1 << 63) - 1
 NOTHING = hashlib.sha256(b"").hexdigest()
+BLANK = " \t\n\x0b\f\r"
+#: A document in the search: its id, and a hash of its text, as ids may repeat. Ends on its reference.
+DOC, REF = ["id", "tag"], ["ref", "ref_tag"]
+
+
+def _least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each `width` consecutive values, and its place, the first one on ties."""
+    out, at, span = x, np.arange(len(x)), 1
 
+    def joined(out: np.ndarray, at: np.ndarray, by: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        later = out[by : by + n] < out[:n]
+        return np.where(later, out[by : by + n], out[:n]), np.where(later, at[by : by + n], at[:n])
 
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` consecutive values."""
-    out, span = x, 1
     while 2 * span <= width:
-        out = np.minimum(out[:-span], out[span:])
+        out, at = joined(out, at, span, len(out) - span)
         span *= 2
-    if span < width:
-        n = len(x) - width + 1
-        out = np.minimum(out[:n], out[width - span : width - span + n])
-    return out
+    return joined(out, at, width - span, len(x) - width + 1) if span < width else (out, at)
 
 
 class Windowed:
-    """Windows of some texts. owner: the text of each; at: its first word in the text; anchor: the hash that it selects."""
+    """Windows of some texts of words joined by one space. rows: first words; owner: the text; at: first word in the text;
+    anchor and place: the hash that a window selects, and where in the text that begins."""
 
     def __init__(self, texts: list[bytes], window: int, anchor: int):
-        self.norm = [b" ".join(t.split()) for t in texts]
-        self.words = w = T.Words(self.norm)
-        self.sequence = T.xxh64(w.buf, w.text_start, w.text_end - w.text_start, 1).view(np.int64)
+        self.words = w = T.Words(texts)
         self.hash = w.hashes()
         owner = np.repeat(np.arange(len(texts)), w.count)
-        n = len(self.hash) - window + 1
-        if n <= 0:
-            self.rows = np.zeros(0, np.int64)
-            self.owner = self.rows
-            self.anchor = np.zeros(0, np.uint64)
+        n = max(0, len(self.hash) - window + 1)
+        self.rows = np.flatnonzero(owner[:n] == owner[window - 1 :][:n])
+        self.owner = owner[self.rows]
+        begin = w.first[:-1][self.owner]
+        self.at = self.rows - begin
+        if n:
+            least, place = _least(T.window_hashes(self.hash, anchor), window - anchor + 1)
+            self.anchor, self.place = least[self.rows], place[self.rows] - begin
         else:
-            self.rows = np.flatnonzero(owner[:n] == owner[window - 1 :])
-            self.owner = owner[self.rows]
-            self.anchor = _least(T.window_hashes(self.hash, anchor), window - anchor + 1)[self.rows]
-        self.at = self.rows - w.first[:-1][self.owner]
+            self.anchor, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 def _described(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = []
         for a, b, texts in T.slices(batch.column("text")):
-            w = Windowed(texts, window, anchor)
-            pair = np.unique(np.stack([w.owner.astype(np.uint64), w.anchor], axis=1), axis=0) if len(w.owner) else np.zeros((0, 2), np.uint64)
-            offsets = np.searchsorted(pair[:, 0], np.arange(len(texts) + 1, dtype=np.uint64))
-            anchors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)))
-            parts.append([batch.column("doc_id")[a:b], pa.array(w.sequence), pa.array(w.words.count, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in w.norm]), anchors])
-        names = ["doc_id", "sequence", "n_words", "sha256", "anchors"]
-        for columns in parts:
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def _extended(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+            norm = [b" ".join(t.split()) for t in texts]
+            w = Windowed(norm, window, anchor)
+            new = np.ones(len(w.owner), bool)  # windows follow each other, and so do the places that they select
+            new[1:] = (w.owner[1:] != w.owner[:-1]) | (w.place[1:] != w.place[:-1])
+            offsets = pa.array(np.searchsorted(w.owner[new], np.arange(len(texts) + 1)), pa.int32())
+            seeds = pa.StructArray.from_arrays([pa.array(w.anchor[new].view(np.int64)), pa.array(w.place[new].astype(np.int32))], ["anchor", "at"])
+            digests = pa.array([hashlib.sha256(t).digest() for t in norm], pa.binary())
+            columns = [batch.column("doc_id")[a:b], batch.column("tag")[a:b], digests, pa.array(w.words.count, pa.int64()), pa.ListArray.from_arrays(offsets, seeds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "sequence", "n_words", "seeds"])
+
+
+def equal_runs(words: list[bytes], other: list[bytes], begin: int, least: int) -> Iterator[tuple[int, int]]:
+    """Maximal runs (from, to) of `least` words and more that equal other's, of which the first stands at `begin`."""
+    start = None
+    for k, (x, y) in enumerate(zip(words[begin : begin + len(other)], other, strict=False), begin):
+        if x == y:
+            start = k if start is None else start
+        elif start is not None:
+            if k - start >= least:
+                yield start, k
+            start = None
+    end = min(len(words), begin + len(other))
+    if start is not None and end - start >= least:
+        yield start, end
+
+
+def _compared(batches: Iterator[pa.RecordBatch], window: int, anchor: int | None) -> Iterator[pa.RecordBatch]:
+    """The repeats (b, e) of each document with the stretches of its references (h null).
+
+    With an anchor also the windows, from b on, of the document's seeds that no repeat with the seed's reference covers (h, g).
+    """
     for batch in batches:
-        ids, sequences, anchors = batch.column("id").to_numpy(), batch.column("sequence").to_numpy(), batch.column("anchors")
-        for a, b, texts in T.slices(batch.column("text")):
+        for first, last, texts in T.slices(batch.column("text")):
+            part = batch.slice(first, last - first)
+            out: list[list] = [[], [], [], []]  # rows of the batch, b, h, e or g
+            found_rows, found_b, found_e = [], [], []
+            found: list[dict] = []
+            for k, stretches in enumerate(part.column("stretches").to_pylist()):
+                words, own = texts[k].split(), {}
+                for s in stretches or ():
+                    own.setdefault((s["ref"], s["ref_tag"], s["shift"]), []).extend(equal_runs(words, s["stretch"].encode().split(), s["b"] + s["shift"], window))
+                found.append(own)
+                for b, e in sorted({x for xs in own.values() for x in xs}):
+                    found_rows.append(k)
+                    found_b.append(b)
+                    found_e.append(e)
+            rows, b, e = np.array(found_rows, np.int64), np.array(found_b, np.int32), np.array(found_e, np.int32)
+            ids = [part.column(c) for c in DOC]
+            none = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in ids), pa.array(b), pa.array(e), *none], [*DOC, "b", "e", "h", "g"])
+            if anchor is None:
+                continue
             w = Windowed(texts, window, anchor)
-            wanted = np.unique(anchors[a:b].flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            at = np.minimum(np.searchsorted(wanted, w.anchor), len(wanted) - 1)
-            take = np.flatnonzero((wanted[at] == w.anchor) & (w.sequence == sequences[a:b])[w.owner]) if len(wanted) else np.zeros(0, np.int64)
-            rows, owner = w.rows[take], w.owner[take]
-            h = T.window_hashes(w.hash, window)
-            g = T.window_hashes(w.hash, window, 0xD6E8FEB86659FD93)
-            columns = [h[rows].view(np.int64), (g[rows] >> np.uint64(32)).astype(np.uint32).view(np.int32), w.at[take].astype(np.int32), ids[a:b][owner], sequences[a:b][owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "at", "id", "sequence"])
-
-
-def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+            bounds = np.searchsorted(w.owner, np.arange(len(texts) + 1))
+            left = np.zeros(len(w.owner), bool)
+            for k, seeds in enumerate(part.column("places").to_pylist()):
+                lo, hi = bounds[k], bounds[k + 1]
+                begins, ends = (lo + np.searchsorted(w.place[lo:hi], [s["at"] + d for s in seeds]) for d in (0, 1))
+                for s, x, y in zip(seeds, begins.tolist(), ends.tolist(), strict=True):
+                    left[x:y] = True
+                    for b, e in found[k].get((s["ref"], s["ref_tag"], s["shift"]), ()) if s["shift"] is not None else ():
+                        left[x:y] &= (w.at[x:y] < b) | (w.at[x:y] + window > e)
+            rows = np.flatnonzero(left)
+            h, g = T.window_hashes(w.hash, window)[w.rows[rows]], T.window_hashes(w.hash, window, 0xD6E8FEB86659FD93)[w.rows[rows]]
+            begin = w.at[rows].astype(np.int32)
+            columns = [pa.array(begin), pa.array(begin + window, pa.int32()), pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(w.owner[rows])) for c in ids), *columns], [*DOC, "b", "e", "h", "g"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own, removed, texts = [], [], []
-        sequences, starts = batch.column("sequence").to_numpy(), batch.column("starts")
-        for a, b, part in T.slices(batch.column("text")):
-            norm = [b" ".join(t.split()) for t in part]
-            w = T.Words(norm)
-            same = T.xxh64(w.buf, w.text_start, w.text_end - w.text_start, 1).view(np.int64) == sequences[a:b]
-            for k in np.flatnonzero(same).tolist():
-                words, at = norm[k].split(), starts[a + k].values.to_numpy()
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                own.append(a + k)
-                removed.append(int(gone.sum()))
-                texts.append(b" ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in ("id", "sequence")), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "sequence", "n_removed", "kept_sha256", "kept"])
+        removed, texts = [], []
+        for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            words = text.split()
+            edge = np.zeros(len(words) + 1, np.int64)
+            for r in runs:
+                edge[r["b"]] += 1
+                edge[r["e"]] -= 1
+            gone = np.cumsum(edge)[:-1] > 0
+            removed.append(int(gone.sum()))
+            texts.append(b" ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g))
+        columns = [pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DOC), *columns], [*DOC, "n_removed", "kept_sha256", "kept"])
+
+
+def _seeds(places: DataFrame, key: list[str]) -> DataFrame:
+    """Places (id, tag, at, and a key that equal ones share) against the reference of the key, the smallest place: ref, ref_tag, shift.
+
+    Keys of one id only are left out, and so is the reference itself. In documents that have the reference's id shift is null.
+    """
+    refs = places.groupBy(*key).agg(F.min(F.struct("id", "tag", "at")).alias("r"), F.max("id").alias("last"), F.count("*").alias("n")).where("r.id < last")
+    rows = spread_join(places, refs.select(*key, "r", "n"), key, "n")
+    rows = rows.select(*DOC, "at", F.col("r.id").alias("ref"), F.col("r.tag").alias("ref_tag"), F.col("r.at").alias("ref_at"))
+    rows = rows.where("not (id = ref and tag = ref_tag and at = ref_at)")
+    return rows.select(*DOC, "at", *REF, F.when(F.col("id") > F.col("ref"), F.col("at") - F.col("ref_at")).alias("shift"))
+
+
+def _stretches(seeds: DataFrame, near: DataFrame, before: int, after: int) -> DataFrame:
+    """For each document the stretches of its references: (ref, ref_tag, shift, b, stretch), from `before` words before a seed to
+    `after` words after its beginning; those that touch are one."""
+    run = Window.partitionBy(*DOC, *REF, "shift").orderBy("at")
+    rows = seeds.where("shift is not null").withColumn("new", (F.col("at") - F.lag("at", 1, -(1 << 30)).over(run) > before + after).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy(*DOC, *REF, "shift", "run").agg(F.min("at").alias("x"), F.max("at").alias("y"))
+    rows = rows.select(*DOC, *REF, "shift", F.greatest(F.lit(0), -F.col("shift"), F.col("x") - F.col("shift") - before).alias("b"), (F.col("y") - F.col("shift") + after).alias("e"))
+    counts = rows.groupBy(*REF).agg(F.count("*").alias("n"))
+    texts = near.withColumnsRenamed(dict(zip(DOC, REF, strict=True))).join(counts, REF)
+    rows = spread_join(rows, texts, REF, "n", counts=counts)
+    stretch = F.array_join(F.slice(F.split("text", " "), F.col("b") + 1, F.greatest(F.lit(0), F.col("e") - F.col("b"))), " ")
+    return rows.select(*DOC, F.struct(*REF, "shift", "b", stretch.alias("stretch")).alias("s")).groupBy(*DOC).agg(F.collect_list("s").alias("stretches"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -117,31 +192,39 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
 
     A word goes if a window of `window` consecutive words that covers it also starts in a row with a smaller doc_id; the
     windows are those of the input. A null text has no words. A null doc_id counts as larger than any other. Rows with
-    the same doc_id don't count against each other. Other columns aren't read. An empty table gives none.
+    the same doc_id don't count against each other, and repeated rows are rows of their own with equal results. Very long
+    texts are whole, a task holds one of them at a time. Other columns, whatever their names, aren't read. An empty table
+    gives none.
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "doc_id long, sequence long, n_words long, sha256 string, anchors array<long>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    kind = "doc_id long, tag long, sequence binary, n_words long, seeds array<struct<anchor: long, at: int>>"
     described = written(texts.mapInArrow(lambda b: _described(b, window, anchor), kind), "substrings-documents").withColumn("id", ident)
-    classes = described.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min("id").alias("first_id"))
-    first = described.where(F.col("n_words") >= window).join(classes, "sequence").where("id = first_id")
-    seeds = first.select("id", "sequence", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    seeded = seeds.join(shared, "anchor").groupBy("id", "sequence").agg(F.collect_set("anchor").alias("anchors"))
-    near = written(texts.select(ident.alias("id"), "text").join(seeded, "id"), "substrings-seeded")
-    rows = written(near.mapInArrow(lambda b: _extended(b, window, anchor), "h long, g int, at int, id long, sequence long"), "substrings-windows")
-    # Written, so that the join below reads plain shuffles, of which Spark can split one that a frequent window fills.
-    least = written(rows.groupBy("h", "g").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "g", "a"), "substrings-least")
-    starts = rows.join(least, ["h", "g"]).where("id > a").groupBy("id", "sequence").agg(F.collect_set("at").alias("starts"))
-    kind = "id long, sequence long, n_removed long, kept_sha256 string, kept string"
-    partly = near.select("id", "sequence", "text").join(starts, ["id", "sequence"]).mapInArrow(lambda b: _kept(b, window), kind)
+    # Rows of one sequence have equal seeds, so any of them will do.
+    classes = described.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min(F.struct(*DOC)).alias("first"), F.any_value("seeds").alias("seeds"), F.count("*").alias("n"))
+    classes = written(classes.select("sequence", "first.*", "seeds", "n"), "substrings-classes")
+    places = classes.select(*DOC, F.inline("seeds")).select("anchor", *DOC, "at")
+    seeds = written(_seeds(places, ["anchor"]), "substrings-seeds")
+    own = seeds.select(*DOC).union(seeds.where("shift is not null").select(*REF)).distinct()
+    words = F.regexp_replace(F.btrim("text", F.lit(BLANK)), r"[\x20\x09-\x0D]+", " ")
+    near = written(texts.select(ident.alias("id"), "tag", words.alias("text")).join(own, DOC).dropDuplicates(DOC), "substrings-near")
+    grouped = seeds.groupBy(*DOC).agg(F.collect_list(F.struct("at", *REF, "shift")).alias("places"))
+    kind = "id long, tag long, b int, e int, h long, g int"
+    rows = near.join(grouped, DOC).join(_stretches(seeds, near, window - anchor, window), DOC, "left")
+    first = written(rows.mapInArrow(lambda b: _compared(b, window, anchor), kind), "substrings-first")
+    wholes = first.where("h is not null").select("h", "g", *DOC, F.col("b").alias("at"))
+    seeds = written(_seeds(wholes, ["h", "g"]).where("shift is not null"), "substrings-wholes")
+    rows = near.join(_stretches(seeds, near, 0, window), DOC)
+    runs = first.where("h is null").union(rows.mapInArrow(lambda b: _compared(b, window, None), kind))
+    runs = runs.groupBy(*DOC).agg(F.collect_list(F.struct("b", "e")).alias("runs"))
+    partly = near.join(runs, DOC).mapInArrow(_kept, "id long, tag long, n_removed long, kept_sha256 string, kept string")
     partly = partly if with_text else partly.drop("kept")
-    partly = partly.dropDuplicates(["id", "sequence"])
+    results = classes.select("sequence", *DOC, "n").join(partly, DOC, "left").drop("tag").withColumnRenamed("id", "first_id")
+    out = spread_join(described.drop("seeds", "tag"), results, ["sequence"], "n", "left", counts=classes.select("sequence", "n"))
     whole = F.col("id") > F.col("first_id")
-    out = described.drop("anchors").join(classes, "sequence", "left").join(partly, ["id", "sequence"], "left")
     columns = {
         "n_removed": F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long"),
-        "kept_sha256": F.when(whole, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "sha256")),
+        "kept_sha256": F.when(whole, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sequence")))),
     }
     if with_text:
         columns["kept"] = F.when(whole, F.lit("")).otherwise(F.col("kept"))

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from plumbline.llm import substrings
+from plumbline.llm import shared, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,3 +46,22 @@ def test_against_brute_force(spark):
     assert all(hashlib.sha256(x.kept.encode()).hexdigest() == x.kept_sha256 for x in got if x.n_removed)
     assert sum(x.n_removed for x in got) > 1000
     assert substrings.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """A passage in most documents, each with other words around it, copies, and one very long text."""
+    monkeypatch.setattr(shared, "HOT", 3)
+    monkeypatch.setattr(shared.spread_join, "__defaults__", ("inner", 3, None))
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(14)]
+    rows = [(k, " ".join([word() for _ in range(r.randint(0, 9))] + passage[r.randint(0, 3) : r.randint(9, 14)] + [word() for _ in range(r.randint(0, 9))])) for k in range(60)]
+    rows += [(100 + k, rows[7][1].replace(" ", " \t")) for k in range(20)] + [(200, " ".join([word() for _ in range(30_000)] + passage)), (201, " ".join(word() for _ in range(30_000)))]
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), window=8, anchor=3).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == sorted(plain(rows, 8))
+
+
+def test_equal_runs_are_maximal():
+    words = b"a b c d e f g h".split()
+    assert list(substrings.equal_runs(words, b"b c x e f g h i".split(), 1, 2)) == [(1, 3), (4, 8)]
+    assert list(substrings.equal_runs(words, b"x y".split(), 3, 1)) == [] and list(substrings.equal_runs(words, [], 3, 1)) == []
