@@ -1,16 +1,18 @@
 """Removal of lines whose template recurs across documents, by a fixed-depth log-template tree.
 
-A line's path in the tree is its number of words, its leading words, and the rest of its words, with variable fields
-replaced by a wildcard: words with a digit or one of @ / = in them, and capitalised words within a sentence. The end of
-the path is the template. A template recurs when it stands in at least CONTEXTS different contexts. A document's context
-is the hash of the set of all its templates, so that copies of a document, and those that differ in variable fields only,
-count once, while a footer, notice or menu line counts in each document, whatever stands beside it and however many copies
-there are. Near copies that differ in other words are documents of their own. The lines of recurring templates go from all
-documents. Lines of fewer than WORDS words, or of which more than half is wildcards, never go.
-
-By request (spread), a context is the least of the hashes of a document's other templates instead, and a template must
-stand in one for each `spread` documents that hold it. That rule spares near copies, but also boilerplate that stands in
-a large group of copies or among other boilerplate; no query takes it.
+A line's path in the tree is its number of words and its first DEPTH words; words with a digit or one of @ / = in them are
+variable fields from the start and read as a wildcard. In a leaf, lines of one length that begin alike, a word is constant
+at its position if it stands there CONTEXTS times or more, over distinct lines and documents; other words are variable, and
+become wildcards as well. What is left is the line's template. Counts don't depend on the order of rows.
+
+A template recurs when CONTEXTS distinct documents hold it. A document's context is the hash of the set of its lines, with
+fields by form as wildcards, so that copies, and those that differ in such fields only, count once, while a footer, notice
+or menu line counts in each document, whatever stands beside it and however many copies there are. Near copies that differ
+in other words are documents of their own. The lines of recurring templates go from all documents. Lines of fewer than WORDS
+words, or whose template has fewer than WORDS constant words, or more variable words than constant ones, never go.
+
+A leaf that fewer than CONTEXTS documents share can't have such a template. So the leaves are counted first, and those that
+recur are marked in a bitmap of fixed size; only lines whose leaf is marked are shuffled with their words.
 """
 
 from __future__ import annotations
@@ -27,80 +29,117 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import text as T
 from .shared import written
 
-CONTEXTS, WORDS = 10, 3
-#: Templates that are broadcast at once; more go one block after another.
+CONTEXTS, WORDS, DEPTH = 10, 3, 2
+#: Lines to go up to which they are broadcast; beyond that they are joined.
 BLOCK = 2_000_000
+#: Bits of the map of leaves; leaves that share a bit cost time only.
+BITS = 1 << 25
 WILDCARD = np.uint64(0x2A)
 FIELD = np.zeros(256, bool)
 FIELD[[*b"0123456789@/="]] = True
-CAPITAL = np.zeros(256, bool)
-CAPITAL[ord("A") : ord("Z") + 1] = True
-STOP = np.zeros(256, bool)
-STOP[[*b".!?:;"]] = True
 
 
 class Lines:
-    """Lines with words, of some texts. owner: the text; number: the line's place among all lines of it; template: the
-    hash of its path; fit: whether lines of this template can go."""
+    """Lines with words, of some texts. owner: the text; number: the line's place among all lines of it; line: the hash of
+    its words; leaf: the hash of its path; words: hashes of all words, of which a line's stand from first to last."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], depth: int = DEPTH):
         w = T.Words(texts)
         newline = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
         line = newline[w.start]
-        first = np.flatnonzero(np.diff(line, prepend=-1))
-        last = np.append(first[1:], len(line))[: len(first)]
+        self.first = first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.last = last = np.append(first[1:], len(line))[: len(first)]
         fields = np.concatenate([[0], np.cumsum(FIELD[w.buf])])
-        wild = fields[w.end] > fields[w.start]
-        inner = np.ones(len(line), bool)
-        inner[first] = False
-        wild |= inner & CAPITAL[w.buf[w.start]] & ~np.concatenate([[False], STOP[w.buf[w.end[:-1] - 1]]])[: len(line)]
-        words = np.where(wild, WILDCARD, w.hashes())
+        self.words = np.where(fields[w.end] > fields[w.start], WILDCARD, w.hashes())
         self.owner = np.searchsorted(w.first[1:], first, "right")
         self.number = line[first] - newline[w.text_start][self.owner]
-        self.template = T.run_hashes(words, first, last)
-        known = np.concatenate([[0], np.cumsum(~wild)])
-        self.fit = (last - first >= WORDS) & (2 * (known[last] - known[first]) >= last - first)
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """whole: a context is all templates of a document, not the least of the others."""
+        self.line = T.run_hashes(self.words, first, last)
+        with np.errstate(over="ignore"):
+            self.leaf = T.mix(T.run_hashes(self.words, first, np.minimum(first + depth, last)) + (last - first).astype(np.uint64) * T.P1)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(np.where(self._once(), self.line, 0)))])
+        bounds = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+        #: Of each text, a hash of the set of its lines.
+        self.context = total[bounds[1:]] - total[bounds[:-1]]
+        self.fit = last - first >= WORDS
+
+    def _once(self) -> np.ndarray:
+        """Whether a line is the first of its kind in its text."""
+        order = np.lexsort((self.line, self.owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.owner[order][1:] != self.owner[order][:-1]) | (self.line[order][1:] != self.line[order][:-1])
+        out = np.zeros(len(order), bool)
+        out[order[new]] = True
+        return out
+
+
+def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, texts in T.slices(batch.column("text")):
-            x = Lines(texts)
-            order = np.lexsort((x.template, x.owner))
-            owner, template, fit = x.owner[order], x.template[order], x.fit[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1])
-            owner, template, fit = owner[new], template[new], fit[new]
-            head = np.flatnonzero(np.diff(owner, prepend=-1))
-            size = np.diff(np.append(head, len(owner)))
-            if whole:
-                context = np.repeat(np.add.reduceat(T.mix(template), head), size) if len(head) else template
-            else:
-                context = np.repeat(template[head], size)
-                other = np.minimum(head + 1, max(0, len(owner) - 1))
-                context[head] = np.where(owner[other] == owner[head], template[other], 0) * (other != head)
-            yield pa.RecordBatch.from_arrays([pa.array(template[fit].view(np.int64)), pa.array(context[fit].view(np.int64))], ["template", "context"])
+            x = Lines(texts, depth)
+            pair = np.unique(np.stack([x.leaf[x.fit], x.context[x.owner[x.fit]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k]).view(np.int64)) for k in (0, 1)], ["leaf", "context"])
+
+
+def _bitmap(leaves: DataFrame, bits: int) -> np.ndarray:
+    """A map of `bits` bits of the leaves; 64 of them a row, so no more than bits / 64 rows reach the driver."""
+    at = F.pmod("leaf", F.lit(bits))
+    rows = leaves.select(F.floor(at / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(leaf, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(-(-bits // 64), np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def recurring(docs: DataFrame, contexts: int = CONTEXTS, spread: int | None = None) -> DataFrame:
-    """(template, n_contexts, n_docs) of the templates that recur."""
-    rows = docs.select("text").mapInArrow(lambda b: _contexts(b, spread is None), "template long, context long")
-    each = rows.groupBy("template", "context").agg(F.count("*").alias("n"))
-    found = each.groupBy("template").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_docs"))
-    found = found.where(F.col("n_contexts") >= contexts)
-    return found if spread is None else found.where(spread * F.col("n_contexts") >= F.col("n_docs"))
+def _marked(bitmap: np.ndarray, leaf: np.ndarray, bits: int) -> np.ndarray:
+    at = leaf & np.uint64(bits - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], shared, with_text: bool) -> Iterator[pa.RecordBatch]:
-    templates = shared.value
+def _candidates(batches: Iterator[pa.RecordBatch], shared, bits: int, depth: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, texts in T.slices(batch.column("text")):
+            x = Lines(texts, depth)
+            rows = np.flatnonzero(x.fit & x._once() & _marked(shared.value, x.leaf, bits))
+            size = (x.last - x.first)[rows]
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(x.first[rows] - offsets[:-1], size) + np.arange(offsets[-1])
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.words[at].view(np.int64)))
+            columns = [x.leaf[rows], x.line[rows], x.context[x.owner[rows]]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), words], ["leaf", "line", "context", "words"])
+
+
+def recurring(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, bits: int = BITS) -> DataFrame:
+    """(line, template) of the distinct lines whose template recurs; both are hashes."""
+    texts = docs.select("text")
+    leaves = texts.mapInArrow(lambda b: _leaves(b, depth), "leaf long, context long").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= contexts)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(leaves, bits))
+    rows = written(texts.mapInArrow(lambda b: _candidates(b, shared, bits, depth), "leaf long, line long, context long, words array<long>"), "line-candidates")
+    held = rows.select("line", "context").distinct()
+    kinds = rows.groupBy("line").agg(F.any_value("leaf").alias("leaf"), F.any_value("words").alias("words"))
+    kinds = written(kinds.join(held.groupBy("line").agg(F.count("*").alias("n")), "line"), "line-kinds")
+    pieces = kinds.select("leaf", "line", "n", F.posexplode("words").alias("at", "word")).where((F.col("at") >= depth) & (F.col("word") != int(WILDCARD)))
+    constant = pieces.groupBy("leaf", "at", "word").agg(F.sum("n").alias("s")).where(F.col("s") >= contexts).select("leaf", "at", "word")
+    stay = pieces.join(constant, ["leaf", "at", "word"]).groupBy("line").agg(F.collect_set("at").alias("ats"))
+    kinds = kinds.join(stay, "line", "left")
+    own = lambda w, i: (i < depth) | F.array_contains(F.coalesce("ats", F.array().cast("array<int>")), i)
+    masked = F.transform("words", lambda w, i: F.when(own(w, i), w).otherwise(F.lit(int(WILDCARD))))
+    known = F.size(F.filter("masked", lambda w: w != int(WILDCARD)))
+    kinds = kinds.withColumn("masked", masked).withColumn("known", known).where((F.col("known") >= WORDS) & (2 * F.col("known") >= F.size("words")))
+    kinds = kinds.select("line", F.xxhash64("leaf", "masked").alias("template"))
+    found = held.join(kinds, "line").select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= contexts)
+    return kinds.join(found.select("template"), "template").select("line", "template")
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch], known, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """known: the lines to go of all rows, or None where each row has its own in column gone."""
     for batch in batches:
         texts, n_lines, n_dropped = [], [], []
-        for _, _, part in T.slices(batch.column("text")):
+        own = None if known is not None else batch.column("gone").to_pylist()
+        for first, _, part in T.slices(batch.column("text")):
             x = Lines(part)
-            if len(templates):
-                at = np.minimum(np.searchsorted(templates, x.template), len(templates) - 1)
-                gone = np.flatnonzero(x.fit & (templates[at] == x.template))
+            lines = known.value if known is not None else np.unique(np.array([h for k in range(len(part)) for h in own[first + k] or ()], np.int64).view(np.uint64))
+            if len(lines):
+                at = np.minimum(np.searchsorted(lines, x.line), len(lines) - 1)
+                gone = np.flatnonzero(x.fit & (lines[at] == x.line))
             else:
                 gone = np.zeros(0, np.int64)
             n_lines.append(np.bincount(x.owner, minlength=len(part)))
@@ -111,37 +150,39 @@ def _cleaned(batches: Iterator[pa.RecordBatch], shared, with_text: bool) -> Iter
             for owner, some in numbers.items():
                 part[owner] = b"\n".join(t for k, t in enumerate(part[owner].split(b"\n")) if k not in some)
             texts += part
-        named = dict(zip(batch.schema.names, batch.columns, strict=True))
         if with_text:
-            named["text"] = pa.array([t if v else None for t, v in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+            out = pa.array([t if v else None for t, v in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
         else:
-            del named["text"]
-            named["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-        lines, dropped = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (n_lines, n_dropped))
-        named["n_lines"] = lines if "n_lines" not in named else named["n_lines"]
-        named["n_dropped"] = dropped if "n_dropped" not in named else pa.array(named["n_dropped"].to_numpy() + dropped.to_numpy())
-        yield pa.RecordBatch.from_arrays(list(named.values()), list(named))
+            out = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+        counts = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (n_lines, n_dropped)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), out, *counts], ["row", "text" if with_text else "kept_sha256", "n_lines", "n_dropped"])
+
+
+def _own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, line): the distinct lines of each text, under two hashes that tell texts apart."""
+    for batch in batches:
+        for first, last, texts in T.slices(batch.column("text")):
+            x = Lines(texts)
+            rows = np.flatnonzero(x.fit & x._once())
+            ids = [batch.column(c)[first:last].take(pa.array(x.owner[rows])) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(x.line[rows].view(np.int64))], ["a", "b", "line"])
 
 
-def cleaned(docs: DataFrame, keep: list[str], with_text: bool = True, contexts: int = CONTEXTS, spread: int | None = None, block: int = BLOCK) -> DataFrame:
+def cleaned(docs: DataFrame, keep: list[str], with_text: bool = True, contexts: int = CONTEXTS, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """The columns `keep` of docs, without text, in a struct `row`, with n_lines (lines with a word), n_dropped, and the text left.
 
     with_text false: kept_sha256 in place of the text. A null text stays null, has no lines, and its sha256 is that of
-    an empty one. The lines left are joined as they were, by line feeds. Repeated rows are rows of their own. An empty
-    table gives none. Templates are matched by hashes of 64 bits.
+    an empty one. The lines left are joined as they were, by line feeds. Repeated rows are rows of their own, and count as
+    one document; a task holds one very long text at a time. An empty table gives none. Lines are matched by hashes of 64
+    bits. Up to `block` distinct lines that go are broadcast; more are joined with the texts' own lines, with equal results.
     """
-    context = docs.sparkSession.sparkContext
-    found = written(recurring(docs, contexts, spread).select("template"), "line-templates")
-    n_blocks = -(-found.count() // block) or 1
-    out = docs.select(F.struct(*(docs[c] for c in keep if c != "text")).alias("row"), "text")
-    for k in range(n_blocks):
-        some = found.where(F.pmod("template", F.lit(n_blocks)) == k).toPandas()["template"].to_numpy(np.int64)
-        shared = context.broadcast(np.sort(some.view(np.uint64)))
-        texts = with_text or k < n_blocks - 1
-        fields = [f for f in out.schema.fields if texts or f.name != "text"]
-        fields += [] if texts else [StructField("kept_sha256", StringType())]
-        fields += [] if k else [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
-        names = [f.name for f in fields]
-        out = (written(out, "lines-left") if k else out).mapInArrow(lambda b, shared=shared, texts=texts: _cleaned(b, shared, texts), StructType(fields))
-        assert out.columns == names
-    return out
+    found = written(recurring(docs, contexts, depth).select("line"), "line-templates")
+    rows = docs.select(F.struct(*(docs[c] for c in keep if c != "text")).alias("row"), "text")
+    kind = StructType([rows.schema["row"], StructField("text" if with_text else "kept_sha256", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    if found.count() <= block:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(found.toPandas()["line"].to_numpy(np.int64).view(np.uint64)))
+        return rows.mapInArrow(lambda b: _cleaned(b, known, with_text), kind)
+    keys = [F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")]
+    own = docs.select("text", *keys).mapInArrow(_own_lines, "a long, b long, line long").distinct()
+    gone = own.join(found, "line").groupBy("a", "b").agg(F.collect_list("line").alias("gone"))
+    return rows.select("*", *keys).join(gone, ["a", "b"], "left").select("row", "text", "gone").mapInArrow(lambda b: _cleaned(b, None, with_text), kind)
