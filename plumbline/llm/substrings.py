@@ -29,6 +29,8 @@ from . import text as T
 from .shared import spread_join, written
 
 WINDOW, ANCHOR = 50, 16
+#: Words of a reference that come as one row.
+BLOCK = 128
 #: A null doc_id counts as larger than any other.
 LAST = (1 << 63) - 1
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -71,6 +73,17 @@ class Windowed:
             self.anchor, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+    def sides(self, owner: np.ndarray, place: np.ndarray, window: int, anchor: int) -> Iterator[np.ndarray]:
+        """Hashes of the words on either side of anchors, of which each window around one covers the left or the right ones.
+
+        Both are cut at the borders of the text.
+        """
+        first, end = self.words.first[:-1][owner], self.words.first[1:][owner]
+        at, half = first + place, (window - anchor) // 2
+        yield T.run_hashes(self.hash, np.maximum(first, at - half), at).view(np.int64)
+        yield T.run_hashes(self.hash, at + anchor, np.minimum(end, at + anchor + half)).view(np.int64)
+
+
 def _described(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, texts in T.slices(batch.column("text")):
@@ -79,7 +92,8 @@ def _described(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> I
             new = np.ones(len(w.owner), bool)  # windows follow each other, and so do the places that they select
             new[1:] = (w.owner[1:] != w.owner[:-1]) | (w.place[1:] != w.place[:-1])
             offsets = pa.array(np.searchsorted(w.owner[new], np.arange(len(texts) + 1)), pa.int32())
-            seeds = pa.StructArray.from_arrays([pa.array(w.anchor[new].view(np.int64)), pa.array(w.place[new].astype(np.int32))], ["anchor", "at"])
+            columns = [w.anchor[new].view(np.int64), w.place[new].astype(np.int32), *w.sides(w.owner[new], w.place[new], window, anchor)]
+            seeds = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["anchor", "at", "left", "right"])
             digests = pa.array([hashlib.sha256(t).digest() for t in norm], pa.binary())
             columns = [batch.column("doc_id")[a:b], batch.column("tag")[a:b], digests, pa.array(w.words.count, pa.int64()), pa.ListArray.from_arrays(offsets, seeds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "sequence", "n_words", "seeds"])
@@ -100,6 +114,22 @@ def equal_runs(words: list[bytes], other: list[bytes], begin: int, least: int) -
         yield start, end
 
 
+def repeats(words: list[bytes], stretches: list[dict], window: int) -> dict[tuple, list[tuple[int, int]]]:
+    """For each reference and shift the maximal repeats. Stretches that follow on each other are one."""
+    out: dict[tuple, list[tuple[int, int]]] = {}
+    key, begin, other = None, 0, []
+    for s in [*sorted(stretches, key=lambda s: (s["ref"], s["ref_tag"], s["shift"], s["b"])), None]:
+        new = s and (s["ref"], s["ref_tag"], s["shift"])
+        if s and new == key and s["b"] == begin + len(other):
+            other += s["stretch"].encode().split()
+            continue
+        if key:
+            out.setdefault(key, []).extend(equal_runs(words, other, begin + key[2], window))
+        if s:
+            key, begin, other = new, s["b"], s["stretch"].encode().split()
+    return out
+
+
 def _compared(batches: Iterator[pa.RecordBatch], window: int, anchor: int | None) -> Iterator[pa.RecordBatch]:
     """The repeats (b, e) of each document with the stretches of its references (h null).
 
@@ -108,13 +138,10 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int, anchor: int | None
     for batch in batches:
         for first, last, texts in T.slices(batch.column("text")):
             part = batch.slice(first, last - first)
-            out: list[list] = [[], [], [], []]  # rows of the batch, b, h, e or g
             found_rows, found_b, found_e = [], [], []
             found: list[dict] = []
             for k, stretches in enumerate(part.column("stretches").to_pylist()):
-                words, own = texts[k].split(), {}
-                for s in stretches or ():
-                    own.setdefault((s["ref"], s["ref_tag"], s["shift"]), []).extend(equal_runs(words, s["stretch"].encode().split(), s["b"] + s["shift"], window))
+                own = repeats(texts[k].split(), stretches or [], window)
                 found.append(own)
                 for b, e in sorted({x for xs in own.values() for x in xs}):
                     found_rows.append(k)
@@ -143,6 +170,19 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int, anchor: int | None
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(w.owner[rows])) for c in ids), *columns], [*DOC, "b", "e", "h", "g"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, numbers, parts = [], [], []
+        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            words = text.split()
+            for i in range(0, len(words), block):
+                rows.append(k)
+                numbers.append(i // block)
+                parts.append(b" ".join(words[i : i + block]))
+        ids = [batch.column(c).take(pa.array(rows, pa.int64())) for c in REF]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary()).cast(pa.string())], [*REF, "block", "words"])
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, texts = [], []
@@ -159,16 +199,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DOC), *columns], [*DOC, "n_removed", "kept_sha256", "kept"])
 
 
-def _seeds(places: DataFrame, key: list[str]) -> DataFrame:
-    """Places (id, tag, at, and a key that equal ones share) against the reference of the key, the smallest place: ref, ref_tag, shift.
+def _seeds(places: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Places (id, tag, at, left, right, and a key that equal ones share) against the reference of the key, the smallest place:
+    ref, ref_tag, shift.
 
-    Keys of one id only are left out, and so is the reference itself. In documents that have the reference's id shift is null.
+    Keys of one id only are left out, and so is the reference itself. shift is null in documents that have the reference's
+    id, and where the words on both sides differ from the reference's, so that no window can equal one of it.
     """
-    refs = places.groupBy(*key).agg(F.min(F.struct("id", "tag", "at")).alias("r"), F.max("id").alias("last"), F.count("*").alias("n")).where("r.id < last")
-    rows = spread_join(places, refs.select(*key, "r", "n"), key, "n")
-    rows = rows.select(*DOC, "at", F.col("r.id").alias("ref"), F.col("r.tag").alias("ref_tag"), F.col("r.at").alias("ref_at"))
+    refs = places.groupBy(*key).agg(F.min(F.struct("id", "tag", "at", "left", "right")).alias("r"), F.max("id").alias("last"), F.count("*").alias("n")).where("r.id < last")
+    refs = written(refs.select(*key, "r", "n"), f"substrings-{name}-references")
+    rows = spread_join(places, refs, key, "n", counts=refs.select(*key, "n"))
+    rows = rows.select(*DOC, "at", F.col("r.id").alias("ref"), F.col("r.tag").alias("ref_tag"), F.col("r.at").alias("ref_at"), ((F.col("left") == F.col("r.left")) | (F.col("right") == F.col("r.right"))).alias("near"))
     rows = rows.where("not (id = ref and tag = ref_tag and at = ref_at)")
-    return rows.select(*DOC, "at", *REF, F.when(F.col("id") > F.col("ref"), F.col("at") - F.col("ref_at")).alias("shift"))
+    return written(rows.select(*DOC, "at", *REF, F.when((F.col("id") > F.col("ref")) & F.col("near"), F.col("at") - F.col("ref_at")).alias("shift")), f"substrings-{name}-seeds")
 
 
 def _stretches(seeds: DataFrame, near: DataFrame, before: int, after: int) -> DataFrame:
@@ -179,11 +222,17 @@ def _stretches(seeds: DataFrame, near: DataFrame, before: int, after: int) -> Da
     rows = rows.withColumn("run", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy(*DOC, *REF, "shift", "run").agg(F.min("at").alias("x"), F.max("at").alias("y"))
     rows = rows.select(*DOC, *REF, "shift", F.greatest(F.lit(0), -F.col("shift"), F.col("x") - F.col("shift") - before).alias("b"), (F.col("y") - F.col("shift") + after).alias("e"))
-    counts = rows.groupBy(*REF).agg(F.count("*").alias("n"))
-    texts = near.withColumnsRenamed(dict(zip(DOC, REF, strict=True))).join(counts, REF)
-    rows = spread_join(rows, texts, REF, "n", counts=counts)
-    stretch = F.array_join(F.slice(F.split("text", " "), F.col("b") + 1, F.greatest(F.lit(0), F.col("e") - F.col("b"))), " ")
-    return rows.select(*DOC, F.struct(*REF, "shift", "b", stretch.alias("stretch")).alias("s")).groupBy(*DOC).agg(F.collect_list("s").alias("stretches"))
+    # References come in blocks, so that a long one is neither one row nor cut up again for each of its seeds.
+    span = F.sequence(F.floor(F.col("b") / BLOCK).cast("int"), F.floor(F.greatest(F.col("b"), F.col("e") - 1) / BLOCK).cast("int"))
+    rows = written(rows.withColumn("block", F.explode(span)), "substrings-stretches")
+    key = [*REF, "block"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    refs = near.withColumnsRenamed(dict(zip(DOC, REF, strict=True))).join(rows.select(*REF).distinct(), REF)
+    blocks = refs.mapInArrow(lambda x, block=BLOCK: _blocks(x, block), "ref long, ref_tag long, block int, words string").join(counts, key)
+    rows = spread_join(rows, blocks, key, "n", counts=counts)
+    at = F.greatest(F.col("b"), F.col("block") * BLOCK)
+    words = F.slice(F.split("words", " "), at - F.col("block") * BLOCK + 1, F.least(F.col("e"), (F.col("block") + 1) * BLOCK) - at)
+    return rows.select(*DOC, F.struct(*REF, "shift", at.alias("b"), F.array_join(words, " ").alias("stretch")).alias("s")).groupBy(*DOC).agg(F.collect_list("s").alias("stretches"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -198,13 +247,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    kind = "doc_id long, tag long, sequence binary, n_words long, seeds array<struct<anchor: long, at: int>>"
+    kind = "doc_id long, tag long, sequence binary, n_words long, seeds array<struct<anchor: long, at: int, left: long, right: long>>"
     described = written(texts.mapInArrow(lambda b: _described(b, window, anchor), kind), "substrings-documents").withColumn("id", ident)
     # Rows of one sequence have equal seeds, so any of them will do.
     classes = described.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min(F.struct(*DOC)).alias("first"), F.any_value("seeds").alias("seeds"), F.count("*").alias("n"))
     classes = written(classes.select("sequence", "first.*", "seeds", "n"), "substrings-classes")
-    places = classes.select(*DOC, F.inline("seeds")).select("anchor", *DOC, "at")
-    seeds = written(_seeds(places, ["anchor"]), "substrings-seeds")
+    places = classes.select(*DOC, F.inline("seeds")).select("anchor", *DOC, "at", "left", "right")
+    seeds = _seeds(places, ["anchor"], "anchor")
     own = seeds.select(*DOC).union(seeds.where("shift is not null").select(*REF)).distinct()
     words = F.regexp_replace(F.btrim("text", F.lit(BLANK)), r"[\x20\x09-\x0D]+", " ")
     near = written(texts.select(ident.alias("id"), "tag", words.alias("text")).join(own, DOC).dropDuplicates(DOC), "substrings-near")
@@ -212,8 +261,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, wi
     kind = "id long, tag long, b int, e int, h long, g int"
     rows = near.join(grouped, DOC).join(_stretches(seeds, near, window - anchor, window), DOC, "left")
     first = written(rows.mapInArrow(lambda b: _compared(b, window, anchor), kind), "substrings-first")
-    wholes = first.where("h is not null").select("h", "g", *DOC, F.col("b").alias("at"))
-    seeds = written(_seeds(wholes, ["h", "g"]).where("shift is not null"), "substrings-wholes")
+    wholes = first.where("h is not null").select("h", "g", *DOC, F.col("b").alias("at"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    seeds = _seeds(wholes, ["h", "g"], "whole").where("shift is not null")
     rows = near.join(_stretches(seeds, near, 0, window), DOC)
     runs = first.where("h is null").union(rows.mapInArrow(lambda b: _compared(b, window, None), kind))
     runs = runs.groupBy(*DOC).agg(F.collect_list(F.struct("b", "e")).alias("runs"))

@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
 
 def test_hot_keys_are_split(spark, monkeypatch):
     """A passage in most documents, each with other words around it, copies, and one very long text."""
-    monkeypatch.setattr(shared, "HOT", 3)
+    monkeypatch.setattr(substrings, "BLOCK", 5)
     monkeypatch.setattr(shared.spread_join, "__defaults__", ("inner", 3, None))
     r = random.Random(12)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
