@@ -152,3 +152,8 @@ ONE_IN = 20
 
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no window of an item of benchmark."""
+    return scanned(docs, benchmark).where("n_hit = 0").select("row.*")

@@ -70,4 +70,29 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_classifier, op4_substring_dedup, op5_source_mixing, op6_token_counts, op7_quality_rules, op8_language_id, op9_line_dedup, op10_simhash_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL for the queries that SQL can express; the others depend on hash functions, encodings or fitted models that it lacks.
+ORACLES: dict[str, str] = {
+    "op2_decontamination": rf"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS key FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n),
+hits AS (SELECT k, i, p.n, item FROM (SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM places) p JOIN windows USING (n, key)),
+covered AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT k, i, n FROM hits)) GROUP BY k),
+found AS (SELECT k, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+    sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (k) LEFT JOIN found USING (k)""",
+    "op4_substring_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT k, id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT k, id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+first AS (SELECT h, min(id) AS least FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 50)) AS place FROM windows JOIN first USING (h) WHERE id > least),
+words AS (SELECT k, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM docs),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (k, place) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (k)""",
+}
