@@ -61,3 +61,55 @@ def test_stem_keys(path: Column) -> Column:
 def within(path: Column, focus: Column) -> Column:
     """Whether a path is the focus or lies under it."""
     return (path == focus) | F.startswith(path, F.concat(focus, F.lit("/")))
+
+
+#: Names of files that support a repository's reading, with their scores, and of its configuration.
+SUPPORT = {
+    "repository instructions": (("agents.md", "claude.md", "gemini.md", "codex.md"), 700.0),
+    "repository handoff": (("handoff.md",), 400.0),
+    "project manifest or build configuration": (("cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "makefile", "justfile"), 325.0),
+}
+OVERVIEW = ("project overview", 350.0)
+CONFIGURATION = ("cargo.toml", "package.json", "composer.json", "go.mod", "makefile", "dockerfile", "compose.yml", "compose.yaml", "docker-compose.yml", "docker-compose.yaml", "tsconfig.json", "jsconfig.json")
+PRECISE = ("relative", "python-relative", "tsconfig-paths", "tsconfig-base-url", "package-imports", "package-exports", "package-entrypoint", "composer-psr-4", "composer-psr-0", "php-include")
+
+
+def _file_name(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
+
+
+def support_role(path: Column) -> Column:
+    """(role, score) of files that explain or configure a repository, else null."""
+    name, out = _file_name(path), F.lit(None)
+    role = lambda r, score: F.struct(F.lit(r).alias("role"), F.lit(score).alias("score"))
+    manifest = "project manifest or build configuration"
+    out = F.when(F.startswith(name, F.lit("tsconfig")), role(manifest, SUPPORT[manifest][1]))
+    for r, (names, score) in SUPPORT.items():
+        out = F.when(name.isin(*names), role(r, score)).otherwise(out)
+    return F.when(name.rlike("^(?:readme|contributing)"), role(*OVERVIEW)).otherwise(out)
+
+
+def is_project_configuration(path: Column) -> Column:
+    name = _file_name(path)
+    return name.isin(*CONFIGURATION) | name.rlike(r"\.config\.(?:js|ts)$")
+
+
+def parent(path: Column) -> Column:
+    """The folder of a path; empty at the top."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def folders_above(path: Column) -> Column:
+    """All folders that hold a path, the top one as an empty string."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def config_governs(config: Column, path: Column) -> Column:
+    """Whether the folder of a configuration file is, or holds, a path."""
+    folder = parent(config)
+    return (folder == "") | (path == folder) | F.startswith(path, F.concat(folder, F.lit("/")))
+
+
+def resolver_is_precise(resolver: Column) -> Column:
+    return resolver.isin(*PRECISE)

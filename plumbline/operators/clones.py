@@ -7,6 +7,7 @@ occurrences that link to neighbouring firsts are one maximal region.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import intervals
 
 #: Words and punctuation marks as tokens.
@@ -26,8 +28,52 @@ def tokens(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
 
 
+def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rolling hashes: sums of the tokens' hashes times powers of an odd base, of which a window is a difference."""
+    pattern = re.compile(TOKEN, re.ASCII)
+    known: dict[str, tuple[int, int]] = {}
+    bases = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2 for _ in bases]
+    for batch in batches:
+        columns: list[list] = [[], [], [], [], []]
+        for k, content in enumerate(batch.column("content").to_pylist()):
+            t = pattern.findall(content or "")
+            n = len(t) - width + 1
+            if n < 1:
+                continue
+            if len(known) > 1_000_000:
+                known.clear()
+            pairs = []
+            for x in t:
+                h = known.get(x)
+                if h is None:
+                    h = known[x] = tuple(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=16).digest()[i : i + 8], "little") for i in (0, 8))
+                pairs.append(h)
+            both = np.array(pairs, np.uint64)
+            with np.errstate(over="ignore"):
+                for j, base in enumerate(bases):
+                    if len(powers[j][0]) < len(t):
+                        size = 1 << len(t).bit_length()
+                        powers[j] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b))])) for b in (base, pow(base, -1, 1 << 64))]
+                    total = np.concatenate([[np.uint64(0)], np.cumsum(both[:, j] * powers[j][0][: len(t)])])
+                    columns[3 + j].append((total[width:] - total[:-width]) * powers[j][1][:n])
+            columns[0].append(np.full(n, k))
+            columns[2].append(np.arange(n))
+        if columns[0]:
+            rows = pa.array(np.concatenate(columns[0]))
+            # The second hash gives 32 bits more.
+            hashes = pa.StructArray.from_arrays([pa.array(np.concatenate(columns[3]).view(np.int64)), pa.array((np.concatenate(columns[4]) >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["h", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(rows), batch.column("language").take(rows), pa.array(np.concatenate(columns[2])), hashes], ["path", "language", "start", "hash"])
+
+
 def windows(files: DataFrame, width: int) -> DataFrame:
-    """path, language, start and hash (md5) of each window of `width` tokens; hashes are made in the row, before rows are."""
+    """path, language, start and hash (96 bits) of each window of `width` tokens; a rolling hash, one step a token."""
+    kind = "path string, language string, start long, hash struct<h: long, g: int>"
+    return files.select("path", "language", "content").mapInArrow(lambda b: _windows(b, width), kind)
+
+
+def digested(files: DataFrame, width: int) -> DataFrame:
+    """windows() under the md5 of the tokens, for results that show or order by it; costs `width` times the tokens."""
     rows = files.select("path", "language", tokens(F.col("content")).alias("t")).where(F.size("t") >= width)
     starts = F.sequence(F.lit(1), F.size("t") - width + 1)
     hashes = F.transform(starts, lambda s: F.md5(F.array_join(F.slice("t", s, F.lit(width)), " ")))
@@ -36,7 +82,11 @@ def windows(files: DataFrame, width: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Occurrences of windows that stand more than once, with the family's size and first occurrence."""
+    """Occurrences of windows that stand more than once, with the family's size and first occurrence.
+
+    The windows are written once; of those only repeated ones are joined, and a frequent one is split by AQE.
+    """
+    rows = kept(rows, "clone-windows")
     least = rows.groupBy("hash").agg(F.count("*").alias("copies"), F.min(F.struct("path", "start")).alias("first")).where("copies > 1")
     return rows.join(least, "hash")
 
@@ -65,13 +115,16 @@ def coverage(rows: DataFrame, width: int) -> DataFrame:
 def predecessors(buckets: DataFrame, early: int = 8, late: int = 56) -> DataFrame:
     """Pairs that a bounded mode looks at: each member of a bucket against its `early` first and `late` latest predecessors.
 
-    buckets: (hash, path, start). The pairs are at most early + late for each row.
+    buckets: (hash, path, start). Each row names the ranks of its partners, early + late at most, and meets them by an equi-join.
     """
     line = Window.partitionBy("hash").orderBy("path", "start")
     ranked = buckets.withColumn("r", F.row_number().over(line))
-    left, right = ranked.alias("l"), ranked.alias("r")
-    near = (F.col("l.hash") == F.col("r.hash")) & (F.col("l.r") < F.col("r.r")) & ((F.col("r.r") <= early + late + 1) | (F.col("l.r") <= early) | (F.col("l.r") >= F.col("r.r") - late))
-    return left.join(right, near).select("l.hash", F.col("l.path").alias("left_path"), F.col("l.start").alias("left_start"), F.col("r.path").alias("right_path"), F.col("r.start").alias("right_start"))
+    none = F.array().cast("array<int>")
+    upto = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(none)
+    first, last = upto(F.lit(1), F.least(F.lit(early), F.col("r") - 1)), upto(F.greatest(F.lit(1), F.col("r") - late), F.col("r") - 1)
+    right = ranked.select("hash", F.col("path").alias("right_path"), F.col("start").alias("right_start"), F.explode(F.array_union(first, last)).alias("r"))
+    left = ranked.select("hash", F.col("path").alias("left_path"), F.col("start").alias("left_start"), "r")
+    return left.join(right, ["hash", "r"]).select("hash", "left_path", "left_start", "right_path", "right_start")
 
 
 def pair_count(copies: Column, early: int = 8, late: int = 56) -> Column:

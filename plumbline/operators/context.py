@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 #: Weights of the score.
-WEIGHTS = {"focus": 1200.0, "changed": 1100.0, "dependency": 600.0, "dependent": 550.0, "test": 500.0, "transitive": 425.0, "entrypoint": 300.0, "nearby": 250.0}
+WEIGHTS = {"focus": 1200.0, "changed": 1100.0, "dependency": 600.0, "dependent": 550.0, "test": 500.0, "transitive": 425.0, "entrypoint": 300.0, "nearby": 250.0, "near_change": 75.0}
+#: Fixed values: (most, factor) of degrees, commits and complexity, and from where on the last two count.
+SIGNALS = {"fan_in": (20.0, 18), "fan_out": (20.0, 5), "commits": (20.0, 4), "cyclomatic": (100.0, 1.5)}
+BUSY, COMPLEX, RISK, ELEVATED = 5, 10, 200, 0.4
 
 
 def scored(files: DataFrame, changed: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
@@ -22,9 +25,10 @@ def scored(files: DataFrame, changed: DataFrame | None = None, reach: DataFrame
     have = set(files.columns)
     c = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in have else F.lit(0.0)
     score = F.when(paths.is_entrypoint(F.col("path")), WEIGHTS["entrypoint"]).otherwise(0.0)
-    score = score + F.least(c("fan_in"), F.lit(20.0)) * 18 + F.least(c("fan_out"), F.lit(20.0)) * 5 + c("risk") * 200
-    score = score + F.when(c("commits") >= 5, F.least(c("commits"), F.lit(20.0)) * 4).otherwise(0.0)
-    score = score + F.when(c("cyclomatic") >= 10, F.least(c("cyclomatic"), F.lit(100.0)) * 1.5).otherwise(0.0)
+    signal = lambda name: F.least(c(name), F.lit(SIGNALS[name][0])) * SIGNALS[name][1]
+    score = score + signal("fan_in") + signal("fan_out") + c("risk") * RISK
+    score = score + F.when(c("commits") >= BUSY, signal("commits")).otherwise(0.0)
+    score = score + F.when(c("cyclomatic") >= COMPLEX, signal("cyclomatic")).otherwise(0.0)
     if changed is not None:
         files = files.join(changed.select("path", F.lit(True).alias("_changed")).distinct(), "path", "left")
         score = score + F.when(F.col("_changed"), WEIGHTS["changed"]).otherwise(0.0)
@@ -34,6 +38,63 @@ def scored(files: DataFrame, changed: DataFrame | None = None, reach: DataFrame
     return files.withColumn("score", F.round(score, 2)).drop("_changed", "_distance")
 
 
+def planning_seeds(files: DataFrame, focus: list[str], changed: DataFrame | None = None) -> DataFrame:
+    """path and kind (focus, changed) of the files that a plan starts from; focus: files or folders. A file may be both."""
+    test = F.lit(False)
+    for f in focus:
+        test = test | (F.col("path") == f) | F.startswith("path", F.lit(f.rstrip("/") + "/"))
+    out = files.where(test).select("path", F.lit("focus").alias("kind"))
+    if changed is not None:
+        out = out.union(files.join(changed.select("path"), "path", "left_semi").select("path", F.lit("changed")))
+    return out.distinct()
+
+
+def relations(files: DataFrame, seeds: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """path and score of each file's relation to the seeds (path, kind): focus itself, direct dependencies of a seed, tests that
+    match one, and files of a seed's folder. files: path, and risk where it is known. dependencies: source, target.
+
+    A file near a change counts less, unless its risk is elevated.
+    """
+    changes = not seeds.where("kind = 'changed'").isEmpty()
+    one = seeds.groupBy("path").agg(F.max(F.col("kind") == "focus").alias("focus"))
+    tests = matching_tests(files.select("path"), one.select("path")).select(F.col("test").alias("path"), F.lit(True).alias("matching")).distinct()
+    folders = one.select(paths.parent(F.col("path")).alias("folder"), F.lit(True).alias("nearby")).distinct()
+    risk = F.coalesce(F.col("risk"), F.lit(0.0)) if "risk" in files.columns else F.lit(0.0)
+    rows = files.select("path", risk.alias("risk"), paths.parent(F.col("path")).alias("folder")).join(one, "path", "left").join(tests, "path", "left").join(folders, "folder", "left")
+    near = F.when(F.col("risk") >= ELEVATED, WEIGHTS["nearby"]).otherwise(WEIGHTS["near_change"] if changes else WEIGHTS["nearby"])
+    score = F.when(F.col("focus"), WEIGHTS["focus"]).otherwise(0.0) + F.when(F.col("matching"), WEIGHTS["test"]).otherwise(0.0)
+    score = score + F.when(F.col("nearby") & F.col("focus").isNull(), near).otherwise(0.0)
+    if dependencies is not None:
+        direct = dependencies.join(one.select(F.col("path").alias("source")), "source", "left_semi").select(F.col("target").alias("path"), F.lit(True).alias("needed")).distinct()
+        rows = rows.join(direct, "path", "left")
+        score = score + F.when(F.col("needed"), WEIGHTS["dependency"]).otherwise(0.0)
+    return rows.select("path", score.alias("score"))
+
+
+def merged_reading(entries: DataFrame, tests: DataFrame) -> DataFrame:
+    """path, ord and roles: reading entries (ord, path, role) once each at their first place, and tests (path) after them."""
+    after = tests.select(F.lit(None).cast("long").alias("ord"), "path", F.lit("matching-test").alias("role"))
+    rows = entries.select(F.col("ord").cast("long"), "path", "role").union(after)
+    return rows.groupBy("path").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+def confidence(facts: DataFrame) -> DataFrame:
+    """facts with confidence and reasons of a change summary, from observed and discovery (high, partial, none), test_mapping,
+    graph_eligible, graph_covered, relevant_gaps, outside_gaps and truncated."""
+    covered, eligible = F.col("graph_covered"), F.col("graph_eligible")
+    graph = F.when(eligible == 0, "no-graph-eligible-changes").when(covered == 0, "no-graph-covered-changes").when(covered < eligible, "changed-graph-coverage-incomplete")
+    tests = F.when(F.col("test_mapping") == "partial", "test-mapping-heuristic").when(F.col("test_mapping") == "none", "no-matching-tests")
+    reasons = F.array_compact(F.array(graph, F.when(F.col("relevant_gaps") > 0, "relevant-graph-gaps"), F.when(F.col("outside_gaps") > 0, "repository-graph-gaps"), F.when(F.col("truncated"), "scan-truncated"), tests))
+    level = F.when(covered == 0, "none").when((F.col("observed") == "high") & (F.col("discovery") == "high"), "high").otherwise("partial")
+    return facts.withColumns({"confidence": level, "reasons": reasons})
+
+
+def governed(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """(path, config) of the configurations in a file's folder and those above; an equi-join on the folders above each path."""
+    own = configs.where(paths.is_project_configuration(F.col("path"))).select(paths.parent(F.col("path")).alias("folder"), F.col("path").alias("config"))
+    return files.select("path", F.explode(paths.folders_above(F.col("path"))).alias("folder")).join(own, "folder").select("path", "config")
+
+
 def selected(candidates: DataFrame, tokens: int, files: int) -> DataFrame:
     """candidates with rank and reason, null for those selected: by score, then fewer tokens, then path, each that still fits.
 

@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packages
+
 SCHEMA = "source string, specifier string, candidate string, rank long, resolver string"
 SCRIPT = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json")
 JS = re.compile(r"""(?:\bimport\s+(?:[\w*{}\s,$]+\s+from\s+)?|\bexport\s+[\w*{}\s,$]+\s+from\s+|\brequire\(\s*|\bimport\(\s*)['"]([^'"\n]+)['"]""")
-RUST = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:mod\s+(\w+)\s*;|use\s+((?:crate|self|super)(?:::\w+)+))", re.M)
+RUST = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:mod\s+(\w+)\s*;|use\s+((?:crate|self|super)\b[^;]*);)", re.M)
 GO = re.compile(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"', re.M)
 PHP_USE = re.compile(r"^\s*use\s+(?:function\s+|const\s+)?\\?([\w\\]+)", re.M)
 PHP_INCLUDE = re.compile(r"\b(?:require|include)(?:_once)?\s*\(?\s*(?:__DIR__\s*\.\s*)?['\"]([^'\"\n]+)['\"]")
@@ -58,12 +60,29 @@ def script(path: str, content: str) -> Iterator[tuple[str, list[str], str]]:
             if stem:
                 bare = re.sub(r"\.(?:js|jsx|mjs|cjs)$", "", stem)
                 yield m[1], [stem, *(bare + e for e in SCRIPT), *(f"{stem}/index{e}" for e in SCRIPT)], "relative"
-        elif m[1].startswith(("@/", "~/")):
-            yield m[1], [f"{root}/{m[1][2:]}{e}" for root in ("src", "app") for e in ("", *SCRIPT, *(f"/index{e}" for e in SCRIPT))], "alias"
         else:
             yield m[1], [], "package"
 
 
+def use_paths(tree: str) -> list[str]:
+    """The paths that a use tree names: groups in braces are expanded, new names and asterisks are left off."""
+    tree = tree.strip()
+    at = tree.find("{")
+    if at < 0:
+        path = re.sub(r"\s+as\s+\w+$|::\s*\*$|::\s*self$", "", tree)
+        return [re.sub(r"\s+", "", path)] if path and path != "self" else [""]
+    depth, parts, start = 0, [], at + 1
+    for k in range(at, len(tree)):
+        depth += (tree[k] == "{") - (tree[k] == "}")
+        if depth == 1 and tree[k] == "," or depth == 0:
+            parts.append(tree[start:k])
+            start = k + 1
+        if depth == 0:
+            break
+    head = re.sub(r"\s+", "", tree[:at]).removesuffix("::")
+    return ["::".join(filter(None, (head, p))) for part in parts if part.strip() for p in use_paths(part)]
+
+
 def rust(path: str, content: str) -> Iterator[tuple[str, list[str], str]]:
     folder, name = posixpath.split(path)
     own = folder if name in ("mod.rs", "lib.rs", "main.rs") else posixpath.join(folder, name.removesuffix(".rs"))
@@ -72,13 +91,14 @@ def rust(path: str, content: str) -> Iterator[tuple[str, list[str], str]]:
         if m[1]:
             yield f"mod {m[1]}", [posixpath.join(own, f"{m[1]}.rs"), posixpath.join(own, m[1], "mod.rs")], "rust-mod"
             continue
-        parts = m[2].split("::")
-        at = crate if parts[0] == "crate" else own
-        while parts and parts[0] in ("crate", "self", "super"):
-            at = posixpath.dirname(at) if parts[0] == "super" else at
-            parts = parts[1:]
-        tails = [posixpath.join(at, *parts[:k]) for k in range(len(parts), 0, -1)]
-        yield m[2], [x for t in tails for x in (f"{t}.rs", f"{t}/mod.rs")], "rust-use"
+        for name in dict.fromkeys(use_paths(m[2])):
+            parts = name.split("::")
+            at = crate if parts[0] == "crate" else own
+            while parts and parts[0] in ("crate", "self", "super"):
+                at = posixpath.dirname(at) if parts[0] == "super" else at
+                parts = parts[1:]
+            tails = [posixpath.join(at, *parts[:k]) for k in range(len(parts), 0, -1)]
+            yield name, [x for t in tails for x in (f"{t}.rs", f"{t}/mod.rs")], "rust-use"
 
 
 def php(path: str, content: str) -> Iterator[tuple[str, list[str], str]]:
@@ -97,6 +117,8 @@ def go(path: str, content: str) -> Iterator[tuple[str, list[str], str]]:
         yield m[1], ["/".join(parts[k:]) + "/" for k in range(len(parts))], "go-package"
 
 
+#: Resolvers of imports through configuration files.
+CONFIGURED = ("tsconfig-paths", "tsconfig-base-url", "package-imports", "package-exports", "package-subpath", "package-entrypoint", "package-index", "heuristic-alias", "package")
 READERS = {"Python": python, "JavaScript": script, "TypeScript": script, "TSX": script, "Rust": rust, "PHP": php, "Go": go}
 
 
@@ -110,6 +132,7 @@ def candidates(files: DataFrame) -> DataFrame:
                 try:
                     found = dict.fromkeys((s, tuple(c), r) for s, c, r in READERS[language](path, content))
                 except (SyntaxError, ValueError, RecursionError):
+                    rows.append((path, None, None, 0, "parse-error"))
                     continue
                 for specifier, paths, resolver in found:
                     rows += [(path, specifier, c, k, resolver) for k, c in enumerate(paths or (None,))]
@@ -122,13 +145,22 @@ def candidates(files: DataFrame) -> DataFrame:
 def resolved(files: DataFrame) -> DataFrame:
     """source, specifier, target and resolver of each import; target is null where nothing in the tree matches."""
     paths = files.select(F.col("path").alias("target"), F.col("path").alias("key"))
-    packages = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).groupBy(F.regexp_replace("path", "[^/]*$", "").alias("key")).agg(F.min("path").alias("target"))
-    known = paths.unionByName(packages.select("target", "key"))
-    rows = candidates(files).join(known, F.col("candidate") == F.col("key"), "left")
-    best = Window.partitionBy("source", "specifier", "resolver").orderBy(F.col("target").isNull(), "rank", "target")
+    folders = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).groupBy(F.regexp_replace("path", "[^/]*$", "").alias("key")).agg(F.min("path").alias("target"))
+    known = paths.unionByName(folders.select("target", "key"))
+    rows = candidates(files).where("resolver <> 'parse-error'")
+    configured = rows.where("resolver = 'package'").select("source", "specifier")
+    rows = rows.where("resolver <> 'package'").unionByName(packages.candidates(configured, files))
+    rows = rows.join(known, F.col("candidate") == F.col("key"), "left")
+    # The resolvers of one import through configuration are one list of preference; other imports have one resolver each.
+    best = Window.partitionBy("source", "specifier", F.when(~F.col("resolver").isin(*CONFIGURED), F.col("resolver"))).orderBy(F.col("target").isNull(), "rank", "target")
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("source", "specifier", "target", "resolver")
 
 
+def unparsed(files: DataFrame) -> DataFrame:
+    """source: the files whose imports couldn't be read, as their language's parser fails."""
+    return candidates(files).where("resolver = 'parse-error'").select("source")
+
+
 def edges(files: DataFrame) -> DataFrame:
     """Distinct (source, target, resolver) between files of the tree, the best resolver by name for a pair; no loops."""
     rows = resolved(files).where("target is not null and source <> target")

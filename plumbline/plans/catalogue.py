@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, complexity, lines, paths
-from ..operators import churn, clones, context, findings, gates, graph, intervals, inventory, locate
+from ..operators import churn, clone_groups, clones, context, findings, gates, graph, intervals, inventory, locate
 from ..sources import tables as T
 
 #: Frequent words of the documents, as markers to count.
@@ -188,9 +188,18 @@ def top_risks(spark, folder):
     return rounded(churn.top_risks(churn.risks(with_history(spark, folder)), 10), "score")
 
 
+def duplicated(spark: SparkSession, folder: str, language: str | None = None) -> DataFrame:
+    """duplicated_pct: the share of tokens that a repeated window covers, in one row; of the files of one language, or of all."""
+    files = T.document_files(spark, folder)
+    total = files.select("path", "language", F.size(clones.tokens(F.col("content"))).cast("long").alias("tokens"))
+    rows = total.join(clones.coverage(clones.repeated(windows(spark, folder)), WIDTH), ["path", "language"], "left")
+    rows = rows if language is None else rows.where(F.col("language") == language)
+    return rows.agg(F.coalesce(F.try_divide(F.sum("n") * 100.0, F.sum("tokens")), F.lit(0.0)).alias("duplicated_pct"))
+
+
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     files = with_history(spark, folder)
-    return files.agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("sloc").alias("sloc"), F.avg("cyclomatic").alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.count_if(complexity.risk_score(F.col("sloc"), F.col("cyclomatic"), F.col("commits")) >= 0.1).alias("high_risks"), F.lit(20.0).alias("duplicated_pct"))
+    return files.agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("sloc").alias("sloc"), F.avg("cyclomatic").alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.count_if(complexity.risk_score(F.col("sloc"), F.col("cyclomatic"), F.col("commits")) >= 0.1).alias("high_risks"), F.lit(1).alias("_")).join(duplicated(spark, folder).withColumn("_", F.lit(1)), "_").drop("_")
 
 
 @query
@@ -268,7 +277,7 @@ def type2_clone_families(spark, folder):
 
 @query
 def rare_first_admission(spark, folder):
-    sizes = windows(spark, folder).groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    sizes = clones.digested(T.document_files(spark, folder), WIDTH).groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1")
     return clones.admitted(sizes, 20_000)
 
 
@@ -278,6 +287,18 @@ def bucket_predecessor_cap(spark, folder):
     return sizes.groupBy("copies").agg(F.count("*").alias("buckets"), F.sum(clones.pair_count(F.col("copies"))).alias("pairs"))
 
 
+@query
+def bucket_predecessors(spark, folder):
+    """Files of equal content against the 2 first and 3 latest of those before them."""
+    buckets = T.document_files(spark, folder).select(F.md5("content").alias("hash"), "path", F.lit(0).alias("start")).where("hash is not null")
+    return clones.predecessors(buckets, 2, 3).select("left_path", "right_path")
+
+
+@query
+def languages_with_clones(spark, folder):
+    return clone_groups.with_signal(dup_by_language(spark, folder)).select("language", "duplicated_tokens")
+
+
 # Graphs
 
 
@@ -409,7 +430,8 @@ def interval_union(spark, folder):
 @query
 def baseline_delta(spark, folder):
     now = summary(spark, folder)
-    english = measured(spark, folder).where("language = 'en'").agg(F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.max("cyclomatic").alias("max_cyclomatic"), F.lit(15.0).alias("duplicated_pct"))
+    english = measured(spark, folder).where("language = 'en'").agg(F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.max("cyclomatic").alias("max_cyclomatic"), F.lit(1).alias("_"))
+    english = english.join(duplicated(spark, folder, "en").withColumn("_", F.lit(1)), "_").drop("_")
     return rounded(findings.baseline_delta(english, now), "before", "after")
 
 
@@ -470,6 +492,24 @@ def context_selection(spark, folder):
     return context.selected(candidates(spark, folder), 32_000, 25)
 
 
+@query
+def reading_relations(spark, folder):
+    """Files that relate to changed English sources: their tests, and what lies in their folders."""
+    files = page_paths(spark, folder)
+    seeds = context.planning_seeds(files, [], files.where("lang = 'en' and not contains(path, '/tests/')"))
+    return context.relations(files, seeds).where("score > 0")
+
+
+@query
+def governing_configs(spark, folder):
+    """How many files each configuration governs, if each source has a package and each of its languages a configuration."""
+    files = T.document_files(spark, folder).select("path")
+    top = F.substring_index("path", "/", 1)
+    two = F.substring_index("path", "/", 2)
+    configs = files.select(F.explode(F.array(F.concat(top, F.lit("/package.json")), F.concat(two, F.lit("/tsconfig.json")), F.concat(two, F.lit("/notes.txt")))).alias("path")).distinct()
+    return context.governed(files, configs).groupBy("config").agg(F.count("*").alias("files"))
+
+
 @query
 def work_scope_budget(spark, folder):
     """The first 25 files over three sections: touched by commits, German, then all the rest."""

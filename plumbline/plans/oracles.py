@@ -30,7 +30,6 @@ RISKS = f"{HISTORY}, risks AS (SELECT path, {SCORE} AS score, sloc, cyclomatic,
 MINIFIED = f"(len(list_filter({LINES}, lambda x: strlen(x) > 2000)) > 0 OR (len({LINES}) > 1 AND coalesce(list_sum(list_transform({LINES}, lambda x: strlen(x))), 0) > 250 * len({LINES})))"
 BANNER = f"len(list_filter(list_filter({LINES}, lambda x: regexp_matches(x, '\\S'))[1:5], lambda x: regexp_matches(lower(x), '^\\s*(?://|#|/\\*)\\s*(?:@generated|code generated by|this file was generated|this file is generated|automatically generated|auto-generated|generated.*do not edit)'))) > 0"
 HINT = f"CASE WHEN {MINIFIED} THEN 'minified' WHEN {BANNER} THEN 'generated' END"
-SUMMARY = f"{HISTORY}, summary AS (SELECT count(*) AS files, sum(tokens) AS tokens, sum(sloc) AS sloc, avg(cyclomatic) AS avg_cyclomatic, max(cyclomatic) AS max_cyclomatic, avg(maintainability) AS avg_maintainability, min(maintainability) AS min_maintainability, count(*) FILTER (WHERE {SCORE} >= 0.1) AS high_risks, 20.0 AS duplicated_pct FROM withhist)"
 
 
 def markers(names: list[str], source: str, column: str) -> str:
@@ -47,6 +46,8 @@ WINDOWS = f"tok AS (SELECT path, language, regexp_extract_all(content, '{TOKEN}'
 FAMILIES = f"{FILES}, {WINDOWS}, fams AS (SELECT hash, count(*) AS copies, min({{'path': path, 'start': start}}) AS first FROM windows GROUP BY hash HAVING count(*) > 1), repeated AS (SELECT w.*, copies, first FROM windows w JOIN fams USING (hash))"
 REGIONS = f"{FAMILIES}, later AS (SELECT path, language, start, first.path AS first_path, first.start AS first_start FROM repeated WHERE NOT (path = first.path AND start = first.start)), isl AS (SELECT *, start - row_number() OVER (PARTITION BY path, first_path, start - first_start ORDER BY start) AS island, start - first_start AS diagonal FROM later), regions AS (SELECT path, language, first_path, min(start) AS start, max(start) + {WIDTH} AS \"end\", min(first_start) AS first_start FROM isl GROUP BY path, language, first_path, diagonal, island)"
 COVER = f"{FAMILIES}, covered AS (SELECT path, language, count(DISTINCT start + k) AS n FROM repeated, range(0, {WIDTH}) r(k) GROUP BY path, language)"
+DUPLICATED = f"{COVER.removeprefix(FILES + ', ')}, shares AS (SELECT coalesce(sum(n) * 100.0 / sum(len(t)), 0) AS all_pct, coalesce(sum(n) FILTER (WHERE language = 'en') * 100.0 / sum(len(t)) FILTER (WHERE language = 'en'), 0) AS en_pct FROM tok LEFT JOIN covered USING (path, language))"
+SUMMARY = f"{HISTORY}, {DUPLICATED}, summary AS (SELECT count(*) AS files, sum(tokens) AS tokens, sum(sloc) AS sloc, avg(cyclomatic) AS avg_cyclomatic, max(cyclomatic) AS max_cyclomatic, avg(maintainability) AS avg_maintainability, min(maintainability) AS min_maintainability, count(*) FILTER (WHERE {SCORE} >= 0.1) AS high_risks, any_value(all_pct) AS duplicated_pct FROM withhist, shares)"
 EDGES = "nxt AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem), edges AS (SELECT DISTINCT source, target FROM nxt WHERE source <> target)"
 FANS = f"{EDGES}, fans AS (SELECT node, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT source AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges {{}}) GROUP BY node)"
 CATALOG = f"{RISKS}, {occurrences(['stupid', 'idiot'])}, cat0 AS (SELECT 'complexity' AS kind, path, 'file' AS identity, 'warning' AS severity, 1 AS start_line, greatest(loc, 1) AS end_line, CAST(cyclomatic AS DOUBLE) AS score FROM withhist WHERE cyclomatic > 2 UNION ALL SELECT 'marker', path, concat_ws('|', marker, context_hash, CAST(ordinal AS VARCHAR)), 'note', line, line, NULL FROM occurrences UNION ALL SELECT 'risk', path, 'file', 'warning', 1, 1, score FROM risks WHERE score >= 0.05)"
@@ -116,11 +117,17 @@ ORACLES = {
     "merge_changed_lines": f"WITH {CHANGED} SELECT path, start, \"end\" FROM merged",
     "review_changed_ranges": f"WITH {CHANGED}, f AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_partkey AS part, CAST(l_linenumber - 1 AS BIGINT) AS start_line, CAST(l_linenumber + 1 AS BIGINT) AS end_line FROM lineitem WHERE l_quantity >= 45) SELECT * FROM f WHERE EXISTS (SELECT 1 FROM merged m WHERE m.path = f.path AND start_line <= m.\"end\" AND m.start <= end_line)",
     "interval_union": "WITH i AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS b, CAST(l_linenumber + l_quantity AS BIGINT) AS e FROM lineitem), f AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i), g AS (SELECT *, sum(CASE WHEN far IS NULL OR b > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f) SELECT l_orderkey, min(b) AS b, max(e) AS e FROM g GROUP BY l_orderkey, k",
-    "baseline_delta": f"WITH {SUMMARY}, en AS (SELECT avg(maintainability) AS a, min(maintainability) AS i, max(cyclomatic) AS c FROM withhist WHERE language = 'en') SELECT 'duplicated_pct' AS metric, 15.0 AS before, 20.0 AS after, true AS regressed UNION ALL SELECT 'avg_maintainability', round(a, 6), round(avg_maintainability, 6), a - avg_maintainability > 0.01 FROM en, summary UNION ALL SELECT 'min_maintainability', round(i, 6), round(min_maintainability, 6), i - min_maintainability > 0.01 FROM en, summary UNION ALL SELECT 'max_cyclomatic', c, max_cyclomatic, max_cyclomatic > c FROM en, summary",
+    "baseline_delta": f"WITH {SUMMARY}, en AS (SELECT avg(maintainability) AS a, min(maintainability) AS i, max(cyclomatic) AS c FROM withhist WHERE language = 'en') SELECT 'duplicated_pct' AS metric, round(en_pct, 6) AS before, round(all_pct, 6) AS after, all_pct - en_pct > 0.01 AS regressed FROM shares UNION ALL SELECT 'avg_maintainability', round(a, 6), round(avg_maintainability, 6), a - avg_maintainability > 0.01 FROM en, summary UNION ALL SELECT 'min_maintainability', round(i, 6), round(min_maintainability, 6), i - min_maintainability > 0.01 FROM en, summary UNION ALL SELECT 'max_cyclomatic', c, max_cyclomatic, max_cyclomatic > c FROM en, summary",
     "symbol_locate_ranked": "WITH p AS (SELECT p_name AS name, p_brand AS kind, CAST(p_partkey AS VARCHAR) AS path, regexp_extract(p_name, '([^.:\\\\]+)[.:\\\\]*$', 1) AS simple FROM part), r AS (SELECT name, kind, path, CASE WHEN name = 'widget' THEN 0 WHEN lower(name) = 'widget' THEN 1 WHEN simple = 'widget' THEN 2 WHEN lower(simple) = 'widget' THEN 3 WHEN starts_with(lower(name), 'widget') OR starts_with(lower(simple), 'widget') THEN 4 WHEN contains(lower(name), 'widget') THEN 5 END AS rank FROM p) SELECT name, kind, path, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, name, path LIMIT 20",
     "explain_one": f"WITH {HISTORY} SELECT path, language, tokens, sloc, commits, coalesce({HINT}, 'none') AS skip_hint, false AS test, false AS entrypoint, round({SCORE}, 6) AS score FROM withhist WHERE doc_id = 1",
     "matching_tests": "SELECT source || '/src/m' || CAST(doc_id AS VARCHAR) || '.py' AS path, source || '/tests/test_m' || CAST(doc_id AS VARCHAR) || '.py' AS test FROM documents WHERE lang = 'en'",
     "gap_classification": f"WITH {FILES}, {DELTAS} SELECT CASE WHEN path IN (SELECT path FROM deltas) THEN 'changed' WHEN language = 'de' THEN 'impacted' WHEN language = 'fr' THEN 'selected' ELSE 'outside' END AS class, count(*) AS files FROM files GROUP BY 1",
+    "reading_relations": "WITH s AS (SELECT DISTINCT source FROM documents WHERE lang = 'en') SELECT source || '/tests/test_m' || CAST(doc_id AS VARCHAR) || '.py' AS path, 500.0 AS score FROM documents WHERE lang = 'en' UNION ALL SELECT source || '/src/m' || CAST(doc_id AS VARCHAR) || '.py', 75.0 FROM documents JOIN s USING (source) WHERE lang <> 'en'",
+    "governing_configs": f"WITH {FILES}, p AS (SELECT string_split(path, '/') AS p FROM files) SELECT p[1] || '/package.json' AS config, count(*) AS files FROM p GROUP BY 1 UNION ALL SELECT p[1] || '/' || p[2] || '/tsconfig.json', count(*) FROM p GROUP BY 1",
+    "bucket_predecessors": f"WITH {FILES}, r AS (SELECT md5(content) AS h, path, row_number() OVER (PARTITION BY md5(content) ORDER BY path) AS r FROM files WHERE content IS NOT NULL) SELECT l.path AS left_path, x.path AS right_path FROM r l JOIN r x ON l.h = x.h AND l.r < x.r AND (l.r <= 2 OR l.r >= x.r - 3)",
+    "languages_with_clones": f"WITH {COVER} SELECT language, sum(n) AS duplicated_tokens FROM covered GROUP BY language",
+    "context_selection": f"WITH RECURSIVE {CANDIDATES}, ranked AS (SELECT path, CAST(tokens AS BIGINT) AS tokens, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY score DESC, tokens, path) AS rank FROM candidates), walk AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS reason UNION ALL SELECT r.rank, CASE WHEN n < 25 AND tokens <= 32000 AND used + tokens <= 32000 THEN used + tokens ELSE used END, CASE WHEN n < 25 AND tokens <= 32000 AND used + tokens <= 32000 THEN n + 1 ELSE n END, CASE WHEN n >= 25 THEN 'file limit' WHEN tokens > 32000 THEN 'over the budget' WHEN used + tokens > 32000 THEN 'does not fit' END FROM walk w JOIN ranked r ON r.rank = w.rank + 1) SELECT path, tokens, score, rank, reason FROM ranked JOIN walk USING (rank)",
+    "type2_clone_families": f"WITH {FILES}, tok AS (SELECT path, regexp_extract_all(content, '{TOKEN}') AS t FROM files), one AS (SELECT path, unnest(t) AS x, unnest(range(0, len(t))) AS k FROM tok), coded AS (SELECT path, k, x, CASE WHEN regexp_matches(x, '^[A-Za-z_À-ÿ]') THEN 'w' WHEN regexp_matches(x, '^[0-9]') THEN 'n' ELSE x END AS kind, CASE WHEN regexp_matches(x, '^[A-Za-z_À-ÿ]') THEN coalesce(k - lag(k) OVER (PARTITION BY path, x ORDER BY k), 0) ELSE 0 END AS back FROM one), lists AS (SELECT path, list(kind ORDER BY k) AS kinds, list(back ORDER BY k) AS backs, list(x ORDER BY k) AS xs FROM coded GROUP BY path HAVING count(*) >= {WIDTH}), pos AS (SELECT *, unnest(range(0, len(xs) - {WIDTH} + 1)) AS start FROM lists), coded2 AS (SELECT path, start, md5(array_to_string(list_transform(backs[start + 1:start + {WIDTH}], lambda d, i: CASE WHEN d < i THEN d ELSE 0 END), ' ') || '|' || array_to_string(kinds[start + 1:start + {WIDTH}], ' ')) AS shape, md5(array_to_string(xs[start + 1:start + {WIDTH}], ' ')) AS exact FROM pos), g AS (SELECT shape, exact, count(*) AS n, min({{'path': path, 'start': start}}) AS first FROM coded2 GROUP BY ALL), f AS (SELECT shape, sum(n) AS copies, count(*) AS variants, min(first) AS first FROM g GROUP BY shape HAVING count(*) > 1) SELECT copies, variants, first.path AS first_path, first.start AS first_start FROM f",
     "context_scores": f"WITH {CANDIDATES} SELECT path, score FROM candidates",
     "work_scope_budget": f"WITH {FILES}, {DELTAS}, s AS (SELECT 1 AS section, min(oid) AS ord, path FROM deltas GROUP BY path UNION ALL SELECT 2, doc_id, path FROM files WHERE language = 'de' UNION ALL SELECT 3, doc_id, path FROM files), f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY section, ord) AS k FROM s) SELECT path, section, ord FROM f WHERE k = 1 ORDER BY section, ord, path LIMIT 25",
     "change_summary_budget": f"WITH {FILES}, s AS (SELECT CASE language WHEN 'fr' THEN 1 WHEN 'es' THEN 2 WHEN 'de' THEN 3 WHEN 'en' THEN 4 ELSE 5 END AS section, doc_id, path FROM files), t AS (SELECT * FROM s ORDER BY section, doc_id, path LIMIT 100) SELECT section, count(*) AS files FROM t GROUP BY section",
@@ -138,6 +145,9 @@ TYPES = {
     "bucket_predecessor_cap": "pairs BIGINT",
     "fan_counts": "fan_in BIGINT, fan_out BIGINT",
     "top_depended": "fan_in BIGINT",
+    "languages_with_clones": "duplicated_tokens BIGINT",
+    "type2_clone_families": "copies BIGINT",
+    "reading_relations": "score DOUBLE",
 }
 for _name, _types in TYPES.items():
     _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in (x.split() for x in _types.split(", ")))

@@ -8,7 +8,7 @@ from plumbline.plans import catalogue, oracles
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose result SQL can't express; they have tests of their own.
-WITHOUT_SQL = {"type2_clone_families", "context_selection", "greedy_top_duplicates"}
+WITHOUT_SQL = {"greedy_top_duplicates"}
 
 
 @pytest.fixture(scope="module")
