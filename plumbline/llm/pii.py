@@ -13,8 +13,9 @@ address part above 255, a date, a handle, a credential without digits) count as
 that fail even loose checks. All other candidates have no label, and are what the trees decide on.
 
 For each generator a threshold is calibrated on a held-out fold: the lowest score from which on an exact binomial test shows
-that PRECISION of what it selects there is true. With too few examples nothing is selected. A selected candidate is added
-unless a base span or a longer selected one contains it.
+that PRECISION of what it selects there is true. With too few examples nothing is selected. Credentials of a strict format pass a
+check of their own, as base spans do, and need no threshold. A selected candidate is added unless a base span or a longer
+selected one contains it.
 
 All passes over the corpus are DataFrame operations. As all features have a few levels each, examples are counted by
 their features, in a table of CELLS rows a fold at most by construction, and the trees are fitted on those counts.
@@ -361,9 +362,9 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = written(described(docs), "pii-candidates")
     model, cut = learned(rows)
     plain = lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
-    if not cut:
-        return rows.select("doc_id", "base", F.col("base").alias("spans"))
-    take = lambda x: F.coalesce(scored(model, x["f"]) >= _chosen(cut, x["f"]["generator"]) - 1e-9, F.lit(False))
+    strict = lambda x: F.coalesce(x["label"], F.lit(False))
+    likely = lambda x: F.coalesce(scored(model, x["f"]) >= _chosen(cut, x["f"]["generator"]) - 1e-9, F.lit(False))
+    take = (lambda x: strict(x) | likely(x)) if cut else strict
     rows = rows.withColumn("taken", F.transform(F.filter("candidates", take), plain))
     within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])
     more = lambda x, y: (y["end"] - y["start"] > x["end"] - x["start"]) | ((y["end"] - y["start"] == x["end"] - x["start"]) & (y["k"] < x["k"]))
