@@ -28,19 +28,32 @@ DISTANCE = 3
 BUCKET = 512
 
 
+def normal(texts: list[bytes]) -> list[bytes]:
+    """The words of each text, lower-cased in A-Z and joined by one space."""
+    return [b" ".join(t.lower().split()) for t in texts]
+
+
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles of each normal text, XXH64 of all shingles in order). Fewer words than a shingle has: one of all of them."""
+    w = T.Words(texts)
+    n_shingles = np.where(w.count > 0, np.maximum(w.count - shingle + 1, 1), 0)
+    stop = np.cumsum(n_shingles)
+    if not len(stop) or not stop[-1]:
+        return n_shingles, np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), n_shingles)
+    head = w.first[:-1][owner] + np.arange(stop[-1]) - (stop - n_shingles)[owner]
+    tail = np.minimum(head + shingle - 1, w.first[1:][owner] - 1)
+    return n_shingles, T.xxh64(w.buf, w.start[head], w.end[tail] - w.start[head], 42)
+
+
 def fingerprint_batch(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """SimHash fingerprints (uint64) of texts; no word: zero."""
-    w = T.Words([b" ".join(t.lower().split()) for t in texts])
+    n_shingles, h = shingle_hashes(normal(texts), shingle)
     out = np.zeros(len(texts), np.uint64)
-    n_shingles = np.where(w.count > 0, np.maximum(w.count - shingle + 1, 1), 0)
     full = np.flatnonzero(n_shingles)
     if not len(full):
         return out
     stop = np.cumsum(n_shingles)
-    owner = np.repeat(np.arange(len(texts)), n_shingles)
-    head = w.first[:-1][owner] + np.arange(stop[-1]) - (stop - n_shingles)[owner]
-    tail = np.minimum(head + shingle - 1, w.first[1:][owner] - 1)
-    h = T.xxh64(w.buf, w.start[head], w.end[tail] - w.start[head], 42)
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     votes = np.add.reduceat(bits, (stop - n_shingles)[full], axis=0, dtype=np.int32)
     over = (2 * votes > n_shingles[full][:, None]).astype(np.uint8)
@@ -221,13 +234,18 @@ def hexed(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row for each component of `with_components`."""
+    return one_of_each(docs, with_components(docs))
+
+
+def one_of_each(docs: DataFrame, own: DataFrame) -> DataFrame:
     """docs with one row for each component: that of the smallest doc_id. Columns of docs stay as they are.
 
+    own: doc_id, spare (a hash of the text) and component of each row of docs.
     Rows are told apart by doc_id and text: of a component's rows with its smallest doc_id the one of the least text hash
     stays, once if it is repeated. A doc_id whose texts lie in several components stays in each that it is the smallest of.
     Rows with a null doc_id come after all others, and so stay only in components without any doc_id.
     """
-    own = with_components(docs)
     kept = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spare")).alias("least")).select("least.*")
     # What stays is decided on ids and hashes; the texts are shuffled once, and the rank follows the join's partitioning.
     given = F.struct(F.col("row.doc_id").cast("long").isNull().alias("none"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("row.text").alias("spare"))
