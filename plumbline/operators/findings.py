@@ -21,7 +21,8 @@ def record(kind: str, identity: Column, severity: Column, message: Column, start
 def catalog(files: DataFrame | None = None, markers: DataFrame | None = None, risks: DataFrame | None = None, clones: DataFrame | None = None, max_complexity: int = 20, risk_threshold: float = 0.7) -> DataFrame:
     """The union of the kinds of findings for which rows are given.
 
-    files: path, cyclomatic, loc. markers: path, marker, line, context_hash, ordinal. risks: path, score. clones: path, start, end, copies.
+    files: path, cyclomatic, loc. markers: path, marker, line, context_hash, ordinal. risks: path, score. clones: path, start, end
+    (token positions, which stand in start_line and end_line), each range once.
     """
     warning, parts = F.lit("warning"), []
     if files is not None:

@@ -372,7 +372,8 @@ def import_roots_distinct(spark, folder):
 def catalog(spark: SparkSession, folder: str, threshold: int = 2, risk: float = 0.05) -> DataFrame:
     files = with_history(spark, folder)
     marks = inventory.marker_occurrences(T.document_files(spark, folder), ["stupid", "idiot"])
-    return findings.catalog(files, marks, churn.risks(files), max_complexity=threshold, risk_threshold=risk)
+    copies = clones.regions(clones.repeated(windows(spark, folder)), WIDTH).select("path", "start", "end").distinct()
+    return findings.catalog(files, marks, churn.risks(files), copies, threshold, risk)
 
 
 @query

@@ -50,7 +50,7 @@ DUPLICATED = f"{COVER.removeprefix(FILES + ', ')}, shares AS (SELECT coalesce(su
 SUMMARY = f"{HISTORY}, {DUPLICATED}, summary AS (SELECT count(*) AS files, sum(tokens) AS tokens, sum(sloc) AS sloc, avg(cyclomatic) AS avg_cyclomatic, max(cyclomatic) AS max_cyclomatic, avg(maintainability) AS avg_maintainability, min(maintainability) AS min_maintainability, count(*) FILTER (WHERE {SCORE} >= 0.1) AS high_risks, any_value(all_pct) AS duplicated_pct FROM withhist, shares)"
 EDGES = "nxt AS (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem), edges AS (SELECT DISTINCT source, target FROM nxt WHERE source <> target)"
 FANS = f"{EDGES}, fans AS (SELECT node, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT source AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges {{}}) GROUP BY node)"
-CATALOG = f"{RISKS}, {occurrences(['stupid', 'idiot'])}, cat0 AS (SELECT 'complexity' AS kind, path, 'file' AS identity, 'warning' AS severity, 1 AS start_line, greatest(loc, 1) AS end_line, CAST(cyclomatic AS DOUBLE) AS score FROM withhist WHERE cyclomatic > 2 UNION ALL SELECT 'marker', path, concat_ws('|', marker, context_hash, CAST(ordinal AS VARCHAR)), 'note', line, line, NULL FROM occurrences UNION ALL SELECT 'risk', path, 'file', 'warning', 1, 1, score FROM risks WHERE score >= 0.05)"
+CATALOG = f"{RISKS}, {occurrences(['stupid', 'idiot'])}, {REGIONS.removeprefix(FILES + ', ')}, cat0 AS (SELECT 'complexity' AS kind, path, 'file' AS identity, 'warning' AS severity, 1 AS start_line, greatest(loc, 1) AS end_line, CAST(cyclomatic AS DOUBLE) AS score FROM withhist WHERE cyclomatic > 2 UNION ALL SELECT 'marker', path, concat_ws('|', marker, context_hash, CAST(ordinal AS VARCHAR)), 'note', line, line, NULL FROM occurrences UNION ALL SELECT 'risk', path, 'file', 'warning', 1, 1, score FROM risks WHERE score >= 0.05 UNION ALL SELECT DISTINCT 'duplication', path, start || '|' || \"end\", 'warning', start, \"end\", CAST(\"end\" - start AS DOUBLE) FROM regions)"
 CHANGED = "lines_c AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE l_returnflag = 'R'), isl_c AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS island FROM lines_c), merged AS (SELECT path, min(line) AS start, max(line) AS \"end\" FROM isl_c GROUP BY path, island)"
 CANDIDATES = f"{HISTORY}, changed AS (SELECT DISTINCT path FROM deltas WHERE author = 'purchase'), candidates AS (SELECT path, tokens, round(least(coalesce(0, 0), 20) + ({SCORE}) * 200 + CASE WHEN commits >= 5 THEN least(commits, 20) * 4 ELSE 0 END + CASE WHEN cyclomatic >= 10 THEN least(cyclomatic, 100) * 1.5 ELSE 0 END + CASE WHEN path IN (SELECT path FROM changed) THEN 1100 ELSE 0 END, 2) AS score FROM withhist)"
 CANDIDATES = CANDIDATES.replace("least(coalesce(0, 0), 20) + ", "")
