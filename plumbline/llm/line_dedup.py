@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import text as T
-from .shared import written
+from .shared import bitmap, marked, written
 
 CONTEXTS, WORDS, DEPTH = 10, 3, 2
 #: Lines to go up to which they are broadcast; beyond that they are joined.
@@ -80,25 +80,11 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k]).view(np.int64)) for k in (0, 1)], ["leaf", "context"])
 
 
-def _bitmap(leaves: DataFrame, bits: int) -> np.ndarray:
-    """A map of `bits` bits of the leaves; 64 of them a row, so no more than bits / 64 rows reach the driver."""
-    at = F.pmod("leaf", F.lit(bits))
-    rows = leaves.select(F.floor(at / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(leaf, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(-(-bits // 64), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def _marked(bitmap: np.ndarray, leaf: np.ndarray, bits: int) -> np.ndarray:
-    at = leaf & np.uint64(bits - 1)
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], shared, bits: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, texts in T.slices(batch.column("text")):
             x = Lines(texts, depth)
-            rows = np.flatnonzero(x.fit & x._once() & _marked(shared.value, x.leaf, bits))
+            rows = np.flatnonzero(x.fit & x._once() & marked(shared.value, x.leaf))
             size = (x.last - x.first)[rows]
             offsets = np.concatenate([[0], np.cumsum(size)])
             at = np.repeat(x.first[rows] - offsets[:-1], size) + np.arange(offsets[-1])
@@ -111,8 +97,8 @@ def recurring(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, bit
     """(line, template) of the distinct lines whose template recurs; both are hashes."""
     texts = docs.select("text")
     leaves = texts.mapInArrow(lambda b: _leaves(b, depth), "leaf long, context long").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= contexts)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(leaves, bits))
-    rows = written(texts.mapInArrow(lambda b: _candidates(b, shared, bits, depth), "leaf long, line long, context long, words array<long>"), "line-candidates")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(leaves, "leaf", bits))
+    rows = written(texts.mapInArrow(lambda b: _candidates(b, shared, depth), "leaf long, line long, context long, words array<long>"), "line-candidates")
     held = rows.select("line", "context").distinct()
     kinds = rows.groupBy("line").agg(F.any_value("leaf").alias("leaf"), F.any_value("words").alias("words"))
     kinds = written(kinds.join(held.groupBy("line").agg(F.count("*").alias("n")), "line"), "line-kinds")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,18 @@ def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], n: str, how:
     dealt = rows.join(F.broadcast(large), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts").cast("int"), F.lit(0))).drop("_parts")
     many = other.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
     return dealt.join(many, [*keys, "_part"], how).drop("_part")
+
+
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A map of `bits` bits, a power of two, of the longs in a column; 64 of them a row, so no more than bits / 64 rows reach the driver."""
+    at = F.pmod(column, F.lit(bits))
+    words = rows.select(F.floor(at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(-(-bits // 64), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned values may be in the map."""
+    at = values & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
