@@ -6,10 +6,14 @@ in at most one value of some segment meet under that segment's variant with this
 that meet is computed from their whole sets of shingles (64-bit hashes). Two texts of similarity s meet with probability
 1 - (1 - s^6 - 6 (1 - s) s^5)^6: 0.998 at 0.8, 0.9999 at 0.85. Equal texts are one node from the start.
 
-Members of a bucket aren't all paired. Each is compared with the bucket's least member, the pivot; what then lies in one
-component needs no more comparison. Two members whose distances to their pivot differ by more than 0.2 can't be within 0.2 of
-each other, since Jaccard distance is a metric, nor can texts whose numbers of shingles differ by more than a fifth. Only the
-pairs left by these rules are compared.
+Members of a bucket aren't all paired. Each is compared with the bucket's least member, the pivot. Let R be any set, d(A) the
+shingles in which a set A differs from R, and excess e(A) = 9 |d(A)| - |A|. A and B have a similarity of 0.8 or more if, and only
+if, e(A) + e(B) <= 18 |d(A) & d(B)|. So pairs of which e(A) + e(B) <= 0 link for sure, and all of them through the member of
+least excess; any other link shares at least (e(A) + e(B)) / 18 shingles of its differences. R is what most members of a
+pivot have, so that differences are few, and texts that were edited apart from each other share next to none. Members meet by
+the rarest of their shared differences (as many as the bound leaves, for each level of the other's excess). There each is
+compared with one member first; then pairs that are still in different components are, where enough differences are left to
+share. Nothing is capped. Texts that share many differences and yet aren't near still cost their number of pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -29,12 +33,20 @@ from .simhash import normal, one_of_each, shingle_hashes
 
 #: Words of a shingle, and the similarity from which on two texts are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Two sets are that similar if, and only if, this times the shingles in which they differ are no more than both have: (1 + s) / (1 - s).
+RATIO = 9
 #: Segments of a signature, and min-hashes in each.
 SEGMENTS, LENGTH = 6, 6
 
 #: Bits of the map of texts whose sets are needed: 16 for each of them, up to this many. Texts that share a bit cost time only.
 BITS = 1 << 27
 
+#: Edges up to which components are found in one task.
+SMALL = 100_000
+
+#: Levels of excess for which the members of a pivot are indexed.
+LEVELS = 8
+
 SEEDS = T.mix(np.arange(1, SEGMENTS * LENGTH + 1, dtype=np.uint64))
 
 
@@ -111,26 +123,108 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes (node, keys) that join the same nodes as all links of the pairs that meet in a bucket."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = written(keyed.join(buckets.drop("n"), "key"), "near-members")
-    needed = written(members.select("node").distinct(), "near-nodes")
+    members = written(keyed.join(buckets.drop("n"), "key").where("node <> pivot").select("node", "pivot").distinct(), "near-members")
+    needed = written(members.select("node").union(members.select("pivot")).distinct(), "near-nodes")
     sets = written(shingle_sets(docs, needed), "near-sets")
-    stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = written(similarities(stars, sets), "near-stars")
+    stars = written(similarities(members.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "near-stars")
     near = stars.where(F.col("j") >= SIMILARITY).select("a", "b")
-    known = stars.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "j")
-    rest = _open(members.where("node <> pivot").join(known, ["node", "pivot"]).select("key", "node", "j"), near)
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - SIMILARITY + 1e-9)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return near.unionByName(_near(pairs, sets)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _rest(stars.select(F.col("a").alias("node"), F.col("b").alias("pivot")), near, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _grouped(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """rows with c, the component of node among the pairs `near`."""
+    group = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")), small=SMALL)
+    return rows.join(group, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _xor(a: str, b: str) -> Column:
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (node, pivot, c) with an id, n, the size of the node's set, and d, what it differs in from the pivot's reference.
+
+    The reference is the pivot's set, changed in each shingle in which more than half of the members differ from it.
+    """
+    own, pivots = sets.select("node", F.col("shingles").alias("own")), sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("other"))
+    members = members.join(members.groupBy("pivot").agg(F.count("*").alias("m")), "pivot")
+    rows = members.join(own, "node").join(pivots, "pivot")
+    rows = written(rows.select(F.xxhash64("pivot").alias("group"), "node", "c", "m", F.size("own").alias("n"), _xor("own", "other").alias("d")), "near-differences")
+    most = rows.select("group", "m", F.explode("d").alias("x")).groupBy("group", "x").agg(F.count("*").alias("f"), F.max("m").alias("m")).where("2 * f > m")
+    most = most.groupBy("group").agg(F.collect_list("x").alias("most"))
+    rows = rows.join(most, "group", "left").withColumn("d", F.when(F.col("most").isNull(), F.col("d")).otherwise(_xor("d", "most")))
+    return written(rows.select(F.monotonically_increasing_id().alias("id"), "group", "node", "c", "n", "d"), "near-references")
 
 
-def _open(members: DataFrame, near: DataFrame) -> DataFrame:
-    """The members (key, node, j) of buckets whose nodes lie in several components of the pairs `near`, with c, the component."""
-    group = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = members.join(group, "node", "left").select("key", "node", "j", F.coalesce("component", "node").alias("c"))
-    several = rows.groupBy("key").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("key")
-    return written(rows.join(several, "key", "left_semi"), "near-rest")
+def _overlap(a: Column, b: Column) -> Column:
+    """How many shingles the differences of two members of these excesses must share at least, if the two aren't sure to link."""
+    return F.greatest(F.ceil((a + b) / (2 * RATIO)), F.lit(1)).cast("int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (id, group, c, excess, least, d) with shared: those of d that another row of the group has too, rare ones first.
+
+    Without rows that have too few of them for any link. A shingle of a group is a 64-bit hash of both; two of one hash
+    would bring more pairs together, not fewer.
+    """
+    each = rows.select("id", "group", F.explode("d").alias("x")).select("id", F.xxhash64("group", "x").alias("x"))
+    each = each.withColumn("f", F.count("*").over(Window.partitionBy("x"))).where("f > 1")
+    found = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("shared"))
+    found = rows.drop("d").join(found.select("id", F.col("shared.x").alias("shared")), "id")
+    return written(found.where(F.size("shared") >= _overlap(F.col("excess"), F.col("least"))), "near-shared")
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """`_shared` rows under the shingles by which they meet: (x, side, id, c, excess, left); those of opposite sides meet.
+
+    A member is there once for each level of excesses that it may link to, with the first of its shared shingles that are
+    enough for it; x: a hash of one of these and of the two levels; left: how many of them there are from it on.
+    """
+    span = rows.groupBy("group").agg(F.min("excess").alias("low"), F.max("excess").alias("high"))
+    rows = rows.join(span, "group").withColumn("own", F.expr(f"cast((excess - low) * {LEVELS} div (high - low + 1) as int)")).drop("low", "high")
+    levels = rows.groupBy("group", F.col("own").alias("other")).agg(F.min("excess").alias("low"))
+    levels = levels.groupBy("group").agg(F.collect_list(F.struct("other", "low")).alias("levels"))
+    rows = rows.join(levels, "group").withColumn("size", F.size("shared"))
+    rows = rows.select("*", F.inline("levels")).withColumn("need", _overlap(F.col("excess"), F.col("low"))).where("need <= size")
+    rows = rows.select("id", "c", "excess", "own", "other", "size", F.posexplode(F.expr("slice(shared, 1, size - need + 1)")).alias("at", "x"))
+    key = F.xxhash64("x", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(key.alias("x"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "id", "c", "excess", (F.col("size") - F.col("at")).alias("left"))
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether two rows of `_keys` that meet may link, as far as that isn't known."""
+    enough = 2 * RATIO * F.least(f"{x}.left", f"{y}.left") >= F.col(f"{x}.excess") + F.col(f"{y}.excess")
+    return (F.col(f"{x}.c") != F.col(f"{y}.c")) & enough
+
+
+def _rest(members: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """`near`, the known links of members (node, pivot) to pivots, and further ones (a, b), which join all members of a pivot that link."""
+    rows = _grouped(members, near)
+    several = rows.groupBy("pivot").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("pivot")
+    rows = differences(rows.join(several, "pivot", "left_semi"), sets).withColumn("excess", RATIO * F.size("d") - F.col("n")).drop("n")
+    first = rows.groupBy("group").agg(F.min(F.struct("excess", "node", "c")).alias("first"))
+    rows = rows.join(first, "group").withColumn("least", F.col("first.excess"))
+    sure = F.col("excess") <= -F.col("least")
+    near = near.union(rows.where(sure & (F.col("node") != F.col("first.node"))).select("node", "first.node"))
+    nodes = rows.select("id", "node")
+    rows = rows.withColumn("c", F.xxhash64(F.when(sure, F.col("first.c")).otherwise(F.col("c")))).drop("node", "first")
+    met = written(_keys(_shared(rows)), "near-keys")
+    row = F.struct("id", "c", "excess", "left")
+    heads = met.groupBy("x").agg(F.min(row).alias("y"), (F.min("c") != F.max("c")).alias("several")).where("several").drop("several")
+    met = written(met.select("x", "side", row.alias("z")).join(heads, "x"), "near-met")
+    near = written(near.union(_near(_named(met.where(_may_link("y", "z")).select("y.id", "z.id").toDF("a", "b"), nodes), sets)), "near-heads")
+    now = _grouped(nodes, near).select("id", F.xxhash64("c").alias("c"))
+    met = written(met.select("x", "side", "z.id", "z.excess", "z.left").join(now, "id"), "near-open")
+    y, z = met.alias("y"), met.alias("z")
+    pairs = y.join(z, (F.col("y.x") == F.col("z.x")) & (F.col("y.side") == -F.col("z.side")) & (F.col("y.id") < F.col("z.id")) & _may_link("y", "z"))
+    return near.union(_near(_named(pairs.select(F.col("y.id").alias("a"), F.col("z.id").alias("b")), nodes), sets))
+
+
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ids as pairs of nodes, the lesser first."""
+    for c in ("a", "b"):
+        pairs = (pairs.distinct() if c == "a" else pairs).join(nodes.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node")), c)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,7 +246,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
     own = written(signatures(docs), "near-signatures")
     edges = written(links(docs, own.dropDuplicates(["node"]).select("node", "keys")), "near-links")
     counts = own.groupBy("node").agg(F.count("*").alias("n"))
-    label = counts.join(components(edges), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    label = counts.join(components(edges, small=SMALL), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     return spread_join(own.select("doc_id", "spare", "node"), label, ["node"], "n", counts=counts).select("doc_id", "spare", "component")
 
 

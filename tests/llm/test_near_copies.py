@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 
 from plumbline.llm import near_copies
+from plumbline.llm.components import components
 
 KIND = "doc_id long, text string, component string, node int"
 
@@ -86,3 +87,41 @@ def test_nulls_empty_repeated_and_clashing(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "alone"), (1, None), (4, "Two words"), (6, "two words more")]
     empty = near_copies.deduplicated(docs.limit(0))
     assert empty.columns == docs.columns and empty.count() == 0
+
+
+def counted(monkeypatch):
+    """A list that takes the number of pairs of each call that compares such."""
+    found, near = [], near_copies._near
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, sets: found.append(pairs.count()) or near(pairs, sets))
+    return found
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    rng = random.Random(5)
+    base, pairs = words(rng, 150), counted(monkeypatch)
+    texts = [" ".join(edited(rng, base, rng.choice([2, 5, 7, 9]))) for _ in range(700)]  # most are alike and not near
+    expected = sorted(sorted(c) for c in near_classes(dict(enumerate(texts))))
+    assert len(expected) > 200 and max(map(len, expected)) > 100
+    assert classes(spark, [(k, t, "c", 1) for k, t in enumerate(texts)]) == expected
+    assert sum(pairs) <= 3 * len(texts)
+
+
+def test_families_apart_from_the_pivot(spark, monkeypatch):
+    rng = random.Random(6)
+    base, texts, pairs = words(rng, 200), [], counted(monkeypatch)
+    for _ in range(8):  # the copies of one family share edits and are near each other, those of two families aren't
+        family = edited(rng, base, 8)
+        texts += [" ".join(edited(rng, family, rng.choice([1, 1, 2, 6]))) for _ in range(60)]
+    expected = sorted(sorted(c) for c in near_classes(dict(enumerate(texts))))
+    assert sum(len(c) > 20 for c in expected) == 8
+    assert classes(spark, [(k, t, "c", 1) for k, t in enumerate(texts)]) == expected
+    assert sum(pairs) <= 60 * len(texts)
+
+
+def test_components_in_one_task(spark):
+    rng = random.Random(8)
+    edges = [(f"{rng.randrange(300):03}".encode(), f"{rng.randrange(300):03}".encode()) for _ in range(170)] + [(None, b"1"), (b"7", b"7")]
+    for rows in (edges, []):
+        table = spark.createDataFrame(rows, "u binary, v binary")
+        found = [sorted((bytes(r.node), bytes(r.component)) for r in components(table, small=n).collect()) for n in (0, 1000)]
+        assert found[0] == found[1] and bool(found[0]) == bool(rows)
