@@ -1,10 +1,12 @@
 """Near copies at a Jaccard similarity of 0.8 or more, by deletion-variant signatures over min-hashes.
 
-Bits of a SimHash can't tell a similarity of 0.8: such texts differ in some 10 of 64 bits. So the signature here is of
-SEGMENTS x LENGTH min-hashes of a text's distinct five-word shingles, with the index that `simhash` has: texts that differ
-in at most one value of some segment meet under that segment's variant with this value left out. The similarity of those
-that meet is computed from their whole sets of shingles (64-bit hashes). Two texts of similarity s meet with probability
-1 - (1 - s^6 - 6 (1 - s) s^5)^6: 0.998 at 0.8, 0.9999 at 0.85. Equal texts are one node from the start.
+Texts meet in two ways. Those whose SimHash fingerprints over five-word shingles `simhash.links` joins, by its index of
+one-bit-less variants, meet as one bucket. But at a similarity of 0.8 some 10 of 64 bits differ, which no such index bridges.
+So min-hashes of the distinct shingles are indexed in the same way, in SEGMENTS of LENGTH: texts that differ in at most one
+value of some segment meet under that segment's variant with this value left out. The similarity of those that meet is
+computed from their whole sets of shingles (64-bit hashes), so neither way joins what isn't near. Two texts of similarity s
+meet by min-hashes with probability 1 - (1 - s^6 - 6 (1 - s) s^5)^6: 0.998 at 0.8, 0.9999 at 0.85. Equal texts are one node
+from the start.
 
 Members of a bucket aren't all paired. Each is compared with the bucket's least member, the pivot. Let R be any set, d(A) the
 shingles in which a set A differs from R, and excess e(A) = 9 |d(A)| - |A|. A and B have a similarity of 0.8 or more if, and only
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import text as T
 from .components import components
 from .shared import bitmap, marked, spread_join, written
@@ -66,7 +69,7 @@ def _node(text: bytes) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, spare, node, keys) for each row of docs. node: a 128-bit hash of its words; keys: empty without words."""
+    """(doc_id, spare, node, fp, keys) for each row of docs. node: a 128-bit hash of its words; fp: its SimHash; keys: empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +78,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n, h = shingle_hashes(texts, SHINGLE)
                 keys = keys_batch(n, h).ravel().view(np.int64) if len(h) else np.zeros(0, np.int64)
                 ends = np.append(0, np.cumsum((n > 0) * SEGMENTS * LENGTH)).astype(np.int32)
-                columns = [batch.column("doc_id").slice(a, b - a), batch.column("spare").slice(a, b - a), pa.array([_node(t) for t in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spare", "node", "keys"])
+                columns = [batch.column("doc_id").slice(a, b - a), batch.column("spare").slice(a, b - a), pa.array([_node(t) for t in texts], pa.binary()), pa.array(simhash.fingerprints_of(n, h).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spare", "node", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spare"))
-    return rows.mapInArrow(run, "doc_id long, spare long, node binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, spare long, node binary, fp long, keys array<long>")
 
 
 def mark(node: Column) -> Column:
@@ -120,8 +123,8 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) between nodes (node, keys) that join the same nodes as all links of the pairs that meet in a bucket."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    """Edges (u, v) between nodes (node, fp, keys) that join the same nodes as all links of the pairs that meet in a bucket."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node").unionByName(fingerprint_groups(nodes))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = written(keyed.join(buckets.drop("n"), "key").where("node <> pivot").select("node", "pivot").distinct(), "near-members")
     needed = written(members.select("node").union(members.select("pivot")).distinct(), "near-nodes")
@@ -131,6 +134,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _rest(stars.select(F.col("a").alias("node"), F.col("b").alias("pivot")), near, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each of the nodes (node, fp, keys) that has words: key is one for all whose SimHash fingerprints `simhash.links` joins."""
+    own = nodes.where(F.size("keys") > 0).select("node", "fp")
+    found = components(simhash.links(own.select("fp").distinct()), small=SMALL).withColumnsRenamed({"node": "fp"})
+    return own.join(found, "fp", "left").select(F.coalesce("component", "fp").alias("key"), "node")
+
+
 def _grouped(rows: DataFrame, near: DataFrame) -> DataFrame:
     """rows with c, the component of node among the pairs `near`."""
     group = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")), small=SMALL)
@@ -244,7 +254,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
     doc_id and text aren't read; an empty table gives none. Which of several equal similarities comes first has no effect.
     """
     own = written(signatures(docs), "near-signatures")
-    edges = written(links(docs, own.dropDuplicates(["node"]).select("node", "keys")), "near-links")
+    edges = written(links(docs, own.dropDuplicates(["node"]).select("node", "fp", "keys")), "near-links")
     counts = own.groupBy("node").agg(F.count("*").alias("n"))
     label = counts.join(components(edges, small=SMALL), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     return spread_join(own.select("doc_id", "spare", "node"), label, ["node"], "n", counts=counts).select("doc_id", "spare", "component")

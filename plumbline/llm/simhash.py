@@ -48,8 +48,12 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
 
 def fingerprint_batch(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """SimHash fingerprints (uint64) of texts; no word: zero."""
-    n_shingles, h = shingle_hashes(normal(texts), shingle)
-    out = np.zeros(len(texts), np.uint64)
+    return fingerprints_of(*shingle_hashes(normal(texts), shingle))
+
+
+def fingerprints_of(n_shingles: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts from what `shingle_hashes` gives."""
+    out = np.zeros(len(n_shingles), np.uint64)
     full = np.flatnonzero(n_shingles)
     if not len(full):
         return out

@@ -118,6 +118,18 @@ def test_families_apart_from_the_pivot(spark, monkeypatch):
     assert sum(pairs) <= 60 * len(texts)
 
 
+def test_texts_meet_by_simhash(spark):
+    rng = random.Random(7)
+    base = words(rng, 4000)
+    texts = [base, edited(rng, base, 3), edited(rng, base, 3), words(rng, 4000)]
+    docs = spark.createDataFrame([(k, " ".join(t), "c", 1) for k, t in enumerate(texts)], KIND)
+    own = near_copies.signatures(docs)
+    found = near_copies.links(docs, own.selectExpr("node", "fp", "array(doc_id) AS keys")).collect()  # no two meet by min-hashes
+    ids = {bytes(r.node): r.doc_id for r in own.collect()}
+    linked = {frozenset((ids[bytes(r.u)], ids[bytes(r.v)])) for r in found}
+    assert set().union(*linked) == {0, 1, 2} and len(linked) >= 2
+
+
 def test_components_in_one_task(spark):
     rng = random.Random(8)
     edges = [(f"{rng.randrange(300):03}".encode(), f"{rng.randrange(300):03}".encode()) for _ in range(170)] + [(None, b"1"), (b"7", b"7")]
