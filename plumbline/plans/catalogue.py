@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, complexity, lines, paths
 from ..operators import churn, clone_groups, clones, context, findings, gates, graph, intervals, inventory, locate
+from ..session import kept
 from ..sources import tables as T
 
 #: Frequent words of the documents, as markers to count.
@@ -188,18 +189,25 @@ def top_risks(spark, folder):
     return rounded(churn.top_risks(churn.risks(with_history(spark, folder)), 10), "score")
 
 
-def duplicated(spark: SparkSession, folder: str, language: str | None = None) -> DataFrame:
-    """duplicated_pct: the share of tokens that a repeated window covers, in one row; of the files of one language, or of all."""
+def duplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """duplicated_pct, the share of tokens that a repeated window covers, and english_duplicated_pct, that in English files, in one row."""
     files = T.document_files(spark, folder)
     total = files.select("path", "language", clones.token_count(F.col("content")).alias("tokens"))
     rows = total.join(clones.coverage(clones.repeated(windows(spark, folder)), WIDTH), ["path", "language"], "left")
-    rows = rows if language is None else rows.where(F.col("language") == language)
-    return rows.agg(F.coalesce(F.try_divide(F.sum("n") * 100.0, F.sum("tokens")), F.lit(0.0)).alias("duplicated_pct"))
+    share = lambda n, tokens: F.coalesce(F.try_divide(F.sum(n) * 100.0, F.sum(tokens)), F.lit(0.0))
+    return rows.agg(share(F.col("n"), F.col("tokens")).alias("duplicated_pct"), share(english("n"), english("tokens")).alias("english_duplicated_pct"))
+
+
+def english(name: str) -> Column:
+    return F.when(F.col("language") == "en", F.col(name))
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of all files in one row, and some of the English ones. It is written, so that what reads it twice runs it once."""
     files = with_history(spark, folder)
-    return files.agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("sloc").alias("sloc"), F.avg("cyclomatic").alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.count_if(complexity.risk_score(F.col("sloc"), F.col("cyclomatic"), F.col("commits")) >= 0.1).alias("high_risks"), F.lit(1).alias("_")).join(duplicated(spark, folder).withColumn("_", F.lit(1)), "_").drop("_")
+    own = [F.avg(english("maintainability")).alias("english_avg_maintainability"), F.min(english("maintainability")).alias("english_min_maintainability"), F.max(english("cyclomatic")).alias("english_max_cyclomatic")]
+    row = files.agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("sloc").alias("sloc"), F.avg("cyclomatic").alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.count_if(complexity.risk_score(F.col("sloc"), F.col("cyclomatic"), F.col("commits")) >= 0.1).alias("high_risks"), *own, F.lit(1).alias("_"))
+    return kept(row.join(duplicated(spark, folder).withColumn("_", F.lit(1)), "_").drop("_"), "summary")
 
 
 @query
@@ -430,9 +438,9 @@ def interval_union(spark, folder):
 @query
 def baseline_delta(spark, folder):
     now = summary(spark, folder)
-    english = measured(spark, folder).where("language = 'en'").agg(F.avg("maintainability").alias("avg_maintainability"), F.min("maintainability").alias("min_maintainability"), F.max("cyclomatic").alias("max_cyclomatic"), F.lit(1).alias("_"))
-    english = english.join(duplicated(spark, folder, "en").withColumn("_", F.lit(1)), "_").drop("_")
-    return rounded(findings.baseline_delta(english, now), "before", "after")
+    own = [c for c in now.columns if c.startswith("english_")]
+    before = now.select(*(F.col(c).alias(c.removeprefix("english_")) for c in own))
+    return rounded(findings.baseline_delta(before, now), "before", "after")
 
 
 # Look-up, reading plans
