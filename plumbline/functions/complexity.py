@@ -20,14 +20,37 @@ def heuristic_cyclomatic(content: Column) -> Column:
     return out.cast("long")
 
 
+def operands(content: Column) -> Column:
+    return F.regexp_extract_all(content, F.lit(OPERAND), F.lit(0))
+
+
+def rest(content: Column) -> Column:
+    """A text with a space in place of each run of operands and white space, so that what is left holds operators only."""
+    return F.regexp_replace(content, r"[A-Za-z0-9_\s]+", " ")
+
+
+def operators(rest: Column) -> Column:
+    return F.regexp_extract_all(rest, F.lit(OPERATOR), F.lit(0))
+
+
+def branches(operands: Column, rest: Column) -> Column:
+    """heuristic_cyclomatic() of a text of which operands and rest are known: a branch word stands alone where it is an operand."""
+    out = F.lit(1) + F.size(F.filter(operands, lambda x: x.isin(*BRANCH_WORDS)))
+    for sign in ("&&", "||", "?"):
+        out = out + F.floor((F.octet_length(rest) - F.octet_length(F.replace(rest, F.lit(sign), F.lit("")))) / len(sign)).cast("int")
+    return out.cast("long")
+
+
+def counts(operands: Column, operators: Column) -> Column:
+    """Distinct and total operators and operands."""
+    parts = {"distinct_operators": F.size(F.array_distinct(operators)), "distinct_operands": F.size(F.array_distinct(operands)), "total_operators": F.size(operators), "total_operands": F.size(operands)}
+    return F.struct(*(v.cast("long").alias(k) for k, v in parts.items()))
+
+
 def halstead_counts(content: Column) -> Column:
     """Distinct and total operators and operands of the heuristic lexer: runs of ASCII word characters are operands, any
     other character or pair of the operator table an operator."""
-    # Operands are blanked out first, so that what is left holds operators only.
-    operands = F.regexp_extract_all(content, F.lit(OPERAND), F.lit(0))
-    operators = F.regexp_extract_all(F.regexp_replace(content, OPERAND, " "), F.lit(OPERATOR), F.lit(0))
-    parts = {"distinct_operators": F.size(F.array_distinct(operators)), "distinct_operands": F.size(F.array_distinct(operands)), "total_operators": F.size(operators), "total_operands": F.size(operands)}
-    return F.struct(*(v.cast("long").alias(k) for k, v in parts.items()))
+    return counts(operands(content), operators(rest(content)))
 
 
 def halstead(h: Column) -> Column:

@@ -27,10 +27,15 @@ def is_comment(line: Column, starts: tuple[str, ...] = ("#", "//", "--")) -> Col
 
 def line_stats(content: Column, comments: bool = False) -> Column:
     """loc, sloc, comment_lines and blank_lines of a text; code wins over comments, and comments over blanks."""
-    all_ = lines(content)
-    comment = count_where(all_, lambda x: is_comment(x)) if comments else F.lit(0).cast("long")
-    blank = count_where(all_, is_blank)
-    loc = F.size(all_).cast("long")
+    if comments:
+        all_ = lines(content)
+        comment, blank = count_where(all_, lambda x: is_comment(x)), count_where(all_, is_blank)
+        loc = F.size(all_).cast("long")
+    else:
+        # The same counts without an array of lines: line feeds by the bytes that they take, other lines from their first mark on.
+        feeds = F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit("")))
+        loc = F.when(F.length(content) == 0, F.lit(0)).otherwise(feeds + F.when(F.endswith(content, F.lit("\n")), F.lit(0)).otherwise(F.lit(1))).cast("long")
+        comment, blank = F.lit(0).cast("long"), loc - F.regexp_count(content, F.lit(r"\S[^\n]*"))
     return F.struct(loc.alias("loc"), (loc - blank - comment).alias("sloc"), comment.alias("comment_lines"), blank.alias("blank_lines"))
 
 

@@ -9,8 +9,15 @@ from ..functions import classify, complexity, lines, paths
 
 
 def measured(files: DataFrame, comments: bool = False) -> DataFrame:
-    """files with bytes, tokens (an estimate), line counts, heuristic complexity and maintainability, in one narrow pass."""
-    out = files.withColumns({"bytes": F.octet_length("content").cast("long"), "tokens": lines.token_estimate(F.col("content")), "stats": lines.line_stats(F.col("content"), comments), "cyclomatic": complexity.heuristic_cyclomatic(F.col("content")), "counts": complexity.halstead_counts(F.col("content"))})
+    """files with bytes, tokens (an estimate), line counts, heuristic complexity and maintainability, in one narrow pass.
+
+    Operands and what stands between them are cut out once; tokens, branches and counts are read from those.
+    """
+    content = F.col("content")
+    out = files.withColumns({"bytes": F.octet_length("content").cast("long"), "stats": lines.line_stats(content, comments), "operands": complexity.operands(content), "rest": complexity.rest(content)})
+    out = out.withColumn("operators", complexity.operators(F.col("rest")))
+    other = F.length(F.replace("rest", F.lit(" "), F.lit("")))
+    out = out.select(*files.columns, "bytes", (F.size("operands") + other).cast("long").alias("tokens"), "stats", complexity.branches(F.col("operands"), F.col("rest")).alias("cyclomatic"), complexity.counts(F.col("operands"), F.col("operators")).alias("counts"))
     out = out.withColumn("halstead", complexity.halstead(F.col("counts")))
     mi = complexity.maintainability_index(F.col("halstead.volume"), F.col("cyclomatic"), F.col("stats.sloc"))
     return out.select(*files.columns, "bytes", "tokens", "stats.*", "cyclomatic", "counts.*", "halstead.*", mi.alias("maintainability"))
