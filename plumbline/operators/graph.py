@@ -1,6 +1,6 @@
 """Directed graphs as (source, target) rows: degrees, bounded and unbounded reach, components and cycles.
 
-Loops over the graph run a join for each step, with a checkpoint in the shared folder to cut the lineage.
+Loops over the graph run a join for each step, with its result in the shared folder to cut the lineage.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, kept
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -39,13 +39,15 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int | None = None, direct
     step = edges.select("source", "target")
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     step = {"dependencies": step, "dependents": back, "both": step.union(back)}[direction]
-    seen = frontier = cut(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
+    # As files their sizes are known: edges are made once, and a small frontier meets them by a broadcast.
+    step = kept(step, "edges") if depth is None or depth > 1 else step
+    seen = frontier = kept(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")), "reached")
     k = 0
     while (depth is None or k < depth) and not frontier.isEmpty():
         k += 1
         ahead = frontier.join(step, frontier["node"] == step["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, "node", "left_anti").withColumn("distance", F.lit(k).cast("long")))
-        seen = cut(seen.union(frontier))
+        frontier = kept(ahead.join(seen, "node", "left_anti").withColumn("distance", F.lit(k).cast("long")), "frontier")
+        seen = kept(seen.union(frontier), "reached")
     return seen
 
 
