@@ -58,17 +58,34 @@ def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node and component, the least node that is connected to it in either direction, by label passing with shortcuts."""
-    both = edges.select("source", "target").union(edges.select(F.col("target"), F.col("source"))).distinct()
-    both = cut(both)
-    label = cut(nodes_of(edges).withColumn("component", F.col("node")))
+    """node and component, the least node that is connected to it in either direction.
+
+    Each round gives every node its least neighbour if that is less, follows those links to their ends, and puts the ends in the
+    place of the nodes of the edges; an edge within one end goes. Of the nodes that have an edge left no two neighbours are both
+    ends, so at most half of them stay; edges are read a few times in all, not once for each step of the longest path.
+    """
+    left = kept(edges.select("source", "target"), "edges")
+    label = None
     for _ in range(rounds):
-        offers = both.join(label, both["source"] == label["node"]).groupBy(F.col("target").alias("node")).agg(F.min("component").alias("offer"))
-        new = label.join(offers, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("offer", "component")).alias("component"))
-        root = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = cut(new.join(root, "component").select("node", "was", F.least("component", "root").alias("component")))
-        label = new.select("node", "component")
-        if new.where("was <> component").isEmpty():
+        ends = left.union(left.select(F.col("target"), F.col("source")))
+        link = kept(ends.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("end")).select("node", F.least("node", "end").alias("end")), "links")
+        for _ in range(rounds):
+            ahead = link.select(F.col("node").alias("end"), F.col("end").alias("further"))
+            new = kept(link.join(ahead, "end").select("node", F.col("further").alias("end"), (F.col("further") != F.col("end")).alias("moved")), "links")
+            link = new.select("node", "end")
+            if new.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if label is None:
+            label = link.withColumnRenamed("end", "component")
+        else:
+            known = link.select(F.col("node").alias("component"), "end")
+            label = kept(label.join(known, "component", "left").select("node", F.coalesce("end", "component").alias("component")), "labels")
+        a, b = (link.select(F.col("node").alias(side), F.col("end").alias(f"{side}_end")) for side in ("source", "target"))
+        left = left.join(a, "source").join(b, "target").where("source_end <> target_end")
+        left = kept(left.select(F.col("source_end").alias("source"), F.col("target_end").alias("target")).distinct(), "edges")
+        if left.isEmpty():
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
